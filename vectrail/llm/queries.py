@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import chat_format, url_filter
+from vectrail.llm import chat_format, quality_rules, url_filter
 from vectrail.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules, keys=["page_id"])
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), keys=["doc_id"]).drop("longest_repeat")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = F.lit("<|im_end|><|im_start|>assistant ok").alias("text")
@@ -31,6 +35,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_url_filters": op4_url_filters,
+        "op5_quality_rules": op5_quality_rules,
         "op7_chat_formatting": op7_chat_formatting,
     }
 
@@ -38,5 +43,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filters": url_filter.ORACLE,
+        "op5_quality_rules": quality_rules.ORACLE,
         "op7_chat_formatting": chat_format.ORACLE,
     }
