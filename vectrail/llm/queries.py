@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import chat_format, quality_rules, secrets, url_filter
+from vectrail.llm import chat_format, decontaminate, quality_rules, secrets, token_counts, url_filter
 from vectrail.llm.common import table
 
 
+#: The public vocabulary whose pieces op2 counts.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keys=["doc_id"])
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES, keys=["doc_id"])
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filter.rule_table(spark, url_filter.RULES)
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules, keys=["page_id"])
@@ -38,6 +50,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op2_token_counts": op2_token_counts,
         "op4_url_filters": op4_url_filters,
         "op5_quality_rules": op5_quality_rules,
         "op6_secret_scans": op6_secret_scans,
@@ -47,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontaminate.ORACLE,
         "op4_url_filters": url_filter.ORACLE,
         "op5_quality_rules": quality_rules.ORACLE,
         "op7_chat_formatting": chat_format.ORACLE,
