@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import chat_format, decontaminate, quality_rules, secrets, token_counts, url_filter
+from vectrail.llm import chat_format, decontaminate, ngram_join, quality_rules, secrets, token_counts, url_filter
 from vectrail.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(turns, keys=["conv_id"]), key="conv_id")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_secret_scans": op6_secret_scans,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     }
 
 
