@@ -11,10 +11,12 @@ more, then for every l the first n - t + l of each share at least l (the l-prefi
 3. A document lengthens its prefix by the cost its candidates would have: l grows with the
    frequencies in its 1-prefix, and on until fewer than l of its prefix tokens are frequent
    (in over ``frequent`` classes). Frequent tokens are then left out, as a partner shares another
-   token still. Only a document made up of frequent tokens keeps those of its 1-prefix.
-4. Each document is verified first against the best leader of its tokens, which collapses groups
-   of near copies without their pairs. Then the pairs that stand in different groups, and share
-   as many tokens as both prefixes require, are verified by their whole sets.
+   token still. Documents made up of frequent tokens also meet each other by whole sets, in order
+   of frequency among them, so that what makes one copy different comes first.
+4. Each document is verified first against the leader that most of its tokens have: the document
+   with the smallest share of tokens of its own. That collapses groups of near copies without
+   their pairs. Then the pairs that stand in different groups, and share as many tokens as both
+   prefixes require, are verified by their whole sets.
 5. Components of the links are labelled with their least document.
 
 Scale: shuffled are the prefixes (a quarter of the shingles, 11 bytes each), the shared tokens
@@ -38,7 +40,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.llm import words as W
@@ -66,6 +68,11 @@ def tier_l(n: int, percent: int) -> list[int]:
     return [1 + (top - 1) * k // (TIERS - 1) for k in range(TIERS)]
 
 
+def stored(n, percent: int):
+    """The length of the longest prefix."""
+    return n - least_shared(n, percent) + longest_l(n)
+
+
 def _sets(batch: pa.RecordBatch, text: str) -> list[np.ndarray]:
     words, bounds = W.hashed_words(W.texts_of(batch.column(text)))
     return [W.shingles(words[a:b], SHINGLE) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -78,19 +85,19 @@ def _marks(own: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _described(docs: DataFrame, kind: str, percent: int, prefix: bool) -> DataFrame:
-    """(doc, n, hi, lo) of each document, with the tokens of its longest prefix if asked."""
+def _described(docs: DataFrame, kind: str, percent: int, tokens: str = "none") -> DataFrame:
+    """(doc, n, hi, lo) of each document, with the tokens of its longest ``prefix`` or ``all``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = _sets(batch, "text")
         marks = [_marks(s) for s in own]
         arrays = [batch.column("doc"), pa.array([len(s) for s in own], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())]
-        if prefix:
-            cut = [len(s) - least_shared(len(s), percent) + longest_l(len(s)) for s in own]
+        if tokens != "none":
+            cut = [len(s) if tokens == "all" else stored(len(s), percent) for s in own]
             arrays.append(pa.array([s[:c].tobytes() for s, c in zip(own, cut, strict=True)], pa.binary()))
         return pa.RecordBatch.from_arrays(arrays, ["doc", "n", "hi", "lo", "tokens"][: len(arrays)])
 
-    schema = f"doc {kind}, n long, hi long, lo long" + ", tokens binary" * prefix
+    schema = f"doc {kind}, n long, hi long, lo long" + ", tokens binary" * (tokens != "none")
     return docs.mapInArrow(W.mapped(work, "text"), schema)
 
 
@@ -164,14 +171,16 @@ def _shared(table: pa.Table) -> pa.Table:
     )
 
 
-def _emitted(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """(token, node, n, df, l, f): what each document emits under its own l. f counts its frequent
-    tokens; l is null for documents of frequent tokens only."""
+def _figures(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """(node, n, choice, l, f, alone): the tier that each document chooses, its l, the number f of
+    frequent tokens in that prefix, and the share of the longest prefix that no other document
+    has. A document of frequent tokens has no choice."""
     hot = F.col("df") > frequent
     top = 8 + F.floor(F.floor(F.lit(percent) * F.col("n") / 100) / 20)
     ls = [1 + F.floor((top - 1) * k / (TIERS - 1)) for k in range(TIERS)]
     figures = shared.groupBy("node").agg(
         F.first("n").alias("n"),
+        F.count(F.lit(1)).alias("common"),
         F.sum(F.when(~hot & (F.col("tier") == 0), F.col("df") - 1).otherwise(0)).alias("cost"),
         *[F.sum(F.when(hot & (F.col("tier") <= k), 1).otherwise(0)).alias(f"f{k}") for k in range(TIERS)],
     )
@@ -179,14 +188,43 @@ def _emitted(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
     choice = F.lit(None).cast("int")
     for k in reversed(range(TIERS)):
         choice = F.when((wanted <= k) & (F.col(f"f{k}") < ls[k]), k).otherwise(choice)
-    figures = figures.withColumn("choice", choice).select(
+    size = F.least(F.col("n"), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 8 + F.floor(F.col("n") / 20))
+    return figures.withColumn("choice", choice).select(
         "node",
+        "n",
         "choice",
         F.element_at(F.array(*ls), F.col("choice") + 1).alias("l"),
         F.element_at(F.array(*[F.col(f"f{k}") for k in range(TIERS)]), F.col("choice") + 1).alias("f"),
+        F.round(1 - F.col("common") / size, 3).alias("alone"),
     )
-    kept = F.when(F.col("choice").isNull(), ~hot | (F.col("tier") == 0)).otherwise(~hot & (F.col("tier") <= F.col("choice")))
-    return shared.join(figures, "node").where(kept).select("token", "node", "n", "df", "l", "f")
+
+
+def _emitted(shared: DataFrame, figures: DataFrame, frequent: int) -> DataFrame:
+    """(token, node, n, df, l, f, alone): what each document emits."""
+    kept = (F.col("df") <= frequent) & (F.col("tier") <= F.coalesce("choice", F.lit(TIERS)))
+    return shared.drop("n").join(figures, "node").where(kept).select("token", "node", "n", "df", "l", "f", "alone")
+
+
+def _of_frequent(docs: DataFrame, ids: DataFrame, kind: str, percent: int, bits: int, label: str) -> DataFrame:
+    """The same of documents of frequent tokens among themselves: the 1-prefix of each whole set,
+    ordered by frequency among these documents."""
+    own = docs.join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+    sets = _described(own, kind, percent, "all").select(F.col("doc").alias("node"), "n", "tokens")
+    shared = _packed(sets, percent, bits).groupBy("range").applyInArrow(
+        _shared, f"token long, node {kind}, n long, tier int, df long"
+    )
+    shared = written(shared.drop("tier"), label)
+    unique = shared.groupBy("node").agg((F.first("n") - F.count(F.lit(1))).alias("unique"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("unique")
+    ranked = shared.join(unique, "node").where(length > 0).withColumn("place", place).where(F.col("place") <= length)
+    none = F.lit(None).cast("long")
+    # A partner no smaller than the document must share 2p / (100 + p) of it, which cuts its prefix.
+    short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1 - F.col("unique")
+    return ranked.select(
+        "token", "node", "n", "df", none.alias("l"), none.alias("f"), F.round(F.col("unique") / F.col("n"), 3).alias("alone"),
+        (F.col("place") <= short).alias("short"), (F.col("n") - F.col("unique")).alias("common"),
+    )
 
 
 def _fits(a, b, percent: int):
@@ -230,8 +268,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, kind: str, percent: int, block:
 
 def _led(emitted: DataFrame, percent: int) -> DataFrame:
     """One pair for each document: with the leader that most of its tokens have."""
-    leaders = emitted.groupBy("token").agg(F.min(F.struct("node", "n")).alias("lead"))
-    met = emitted.join(leaders, "token").where((F.col("lead.node") < F.col("node")) & _fits(F.col("n"), F.col("lead.n"), percent))
+    leaders = emitted.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("lead"))
+    met = emitted.join(leaders, "token").where((F.col("lead.node") != F.col("node")) & _fits(F.col("n"), F.col("lead.n"), percent))
     met = met.groupBy("node", F.col("lead.node").alias("lead")).agg(
         F.count(F.lit(1)).alias("c"), F.min("token").alias("token"), F.max("df").alias("df")
     )
@@ -248,15 +286,27 @@ def _grouped(links: DataFrame, jumps: int = 3) -> DataFrame:
     return up
 
 
-def _crossing(emitted: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups that share as many tokens as both prefixes require."""
+def _crossing(emitted: DataFrame, groups: DataFrame, percent: int, whole: bool = False) -> DataFrame:
+    """Pairs of different groups that share as many tokens as both prefixes require; unless
+    ``whole``, without pairs of two documents of frequent tokens. If ``whole``, the smaller
+    document of a pair needs a token of its short prefix, and neither can share tokens that no
+    other document has."""
     marked = emitted.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     several = marked.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
     marked = marked.join(several, "token", "left_semi")
-    a, b = (marked.select("token", "df", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "grp", "l", "f")]) for s in "ab")
+    columns = ["node", "n", "grp", "l", "f", *(["common"] if whole else [])]
+    a, b = (marked.select("token", "df", *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab")
+    if whole:
+        a = marked.where("short").select("token", "df", *[F.col(c).alias(f"a_{c}") for c in columns])
     met = a.join(b.drop("df"), "token").where(
-        (F.col("a_node") < F.col("b_node")) & (F.col("a_grp") != F.col("b_grp")) & _fits(F.col("a_n"), F.col("b_n"), percent)
+        (F.struct("a_n", "a_node") < F.struct("b_n", "b_node"))
+        & (F.col("a_grp") != F.col("b_grp"))
+        & _fits(F.col("a_n"), F.col("b_n"), percent)
     )
+    if whole:
+        met = met.where((100 + percent) * F.least("a_common", "b_common") >= percent * (F.col("a_n") + F.col("b_n")))
+    else:
+        met = met.where("a_l is not null or b_l is not null")
     need = F.coalesce(F.least("a_l", "b_l") - F.least("a_f", "b_f"), F.lit(1))
     return (
         met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
@@ -273,24 +323,34 @@ def join(
     """``doc``, n_shingles and component_id for every row."""
     kind = docs.schema[doc].dataType.simpleString()
     docs = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    figures = written(_described(docs, kind, percent, prefix=False), "sets")
-    total = figures.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sizes = written(_described(docs, kind, percent), "sets")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(6, int(log2(total / range_shingles + 1)) + 1)
-    whole = _described(docs.where("doc is not null"), kind, percent, prefix=True).where("n > 0")
+    whole = _described(docs.where("doc is not null"), kind, percent, "prefix").where("n > 0")
     classes = whole.groupBy("hi", "lo").agg(F.min(F.struct("doc", "n", "tokens")).alias("x")).select(
         F.col("x.doc").alias("node"), F.col("x.n").alias("n"), F.col("x.tokens").alias("tokens")
     )
     shared = _packed(classes, percent, bits).groupBy("range").applyInArrow(
         _shared, f"token long, node {kind}, n long, tier int, df long"
     )
-    emitted = written(_emitted(written(shared, "shared"), percent, frequent), "emitted")
-    led = _verified(docs, _led(emitted, percent), kind, percent, block, "led", broadcast_ids)
-    crossing = _verified(docs, _crossing(emitted, _grouped(led), percent), kind, percent, block, "crossing", broadcast_ids)
-
-    least = figures.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("node"))
-    roots = components(led.unionByName(crossing), "roots")
+    shared = written(shared, "shared")
+    figures = written(_figures(shared, percent, frequent), "figures")
+    emitted = written(_emitted(shared, figures, frequent), "emitted")
+    verify = lambda pairs, name: _verified(docs, pairs, kind, percent, block, name, broadcast_ids)
+    led = verify(_led(emitted, percent), "led")
+    links = led.unionByName(verify(_crossing(emitted, _grouped(led), percent), "crossing"))
+    ids = figures.where("choice is null").select(F.col("node").alias("doc"))
+    count = ids.count()
+    if count:
+        ids = F.broadcast(ids) if count <= broadcast_ids else ids
+        close = written(_of_frequent(docs, ids, kind, percent, bits, "frequent"), "close")
+        led = verify(_led(close, percent), "led-close")
+        links = links.unionByName(led).unionByName(verify(_crossing(close, _grouped(led), percent, whole=True), "crossing-close"))
+
+    least = sizes.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("node"))
+    roots = components(links, "roots")
     least = least.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("component"))
-    out = figures.join(least, ["hi", "lo"], "left")
+    out = sizes.join(least, ["hi", "lo"], "left")
     return out.select(
         F.col("doc").alias(doc),
         F.col("n").alias("n_shingles"),
