@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import chat_format, decontaminate, ngram_join, quality_rules, secrets, token_counts, url_filter
+from vectrail.llm import chat_format, decontaminate, mixing, ngram_join, quality_rules, secrets, subword, token_counts, url_filter
 from vectrail.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -61,6 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_scans": op6_secret_scans,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_mixing": op10_mixing,
     }
 
 
