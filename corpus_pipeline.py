@@ -1,20 +1,56 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""Corpus pipeline: stages over documents, each written as Parquet and reread by the next.
+
+Quality rules drop documents that repeat themselves or have too few words; the n-gram join leaves
+one document of each group of near copies; decontamination drops documents that contain a test
+item; the secret scan masks secrets in the texts; mixing leaves the documents that the target
+weights use, with their rate and copies. An empty table passes every stage empty; nulls, ties and
+repeated rows are as each operator defines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vectrail.llm import decontaminate, mixing, ngram_join, quality_rules, secrets
 from vectrail.llm.common import table, written
 
-STAGES: list = []
 
-#: Trained models and similarity components have no SQL form; tests use brute force.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.accepted(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.deduplicated(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_copies),
+    ("decontamination", benchmark),
+    ("secret_scans", masked),
+    ("mixing", mixed),
+]
+
+#: Similarity components and a trained classifier have no SQL form; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{k}")

@@ -356,3 +356,17 @@ def join(
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"),
     )
+
+
+def deduplicated(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", broadcast_ids: int = 500_000, **options) -> DataFrame:
+    """The documents without those of a component that aren't its least; all columns are kept.
+    Of rows that repeat an id, one stays. Rows without an id stay."""
+    found = written(join(docs, doc=doc, text=text, broadcast_ids=broadcast_ids, **options), "components")
+    gone = found.where(F.col(doc) != F.col("component_id")).select(doc).distinct()
+    if gone.count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, doc, "left_anti").select(*docs.columns)
+    ids = found.where(F.col(doc).isNotNull())
+    if ids.count() > ids.select(doc).distinct().count():
+        out = out.where(F.col(doc).isNotNull()).dropDuplicates([doc]).unionByName(out.where(F.col(doc).isNull()))
+    return out

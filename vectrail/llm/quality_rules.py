@@ -134,6 +134,15 @@ def judge(df: DataFrame, *, keys: Sequence[str], text: str = "text", rules: Rule
     return out.withColumnsRenamed({f"_k{i}": k for i, k in enumerate(keys)})
 
 
+def accepted(df: DataFrame, *, text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(judged(W.texts_of(batch.column(text)), rules)["kept"], pa.bool_()))
+
+    return df.mapInArrow(W.mapped(work, text), df.schema)
+
+
 #: Base figures by windows; the longest repeat is over R if a window of R + 1 words occurs twice.
 ORACLE = r"""
 with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),

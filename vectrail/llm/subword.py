@@ -98,9 +98,11 @@ class Model:
 
 def fit(
     rows: list[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], classes: list, *,
-    bits: int, dim: int = 16, epochs: int = 4, rate: float = 20.0, seed: int = 7,
+    bits: int, dim: int = 16, least_steps: int = 9000, epochs: int = 4, rate: float = 20.0, seed: int = 7,
 ) -> Model:
-    """Stochastic gradient descent over the rows in a seeded order, with a rate falling to zero."""
+    """Stochastic gradient descent over the rows in a seeded order, with a rate falling to zero:
+    ``epochs`` times, and as often as ``least_steps`` needs where rows are few."""
+    epochs = max(epochs, -(-least_steps // max(len(rows), 1)))
     rng = np.random.default_rng(seed)
     k = len(classes)
     share = np.bincount(np.asarray(labels, np.int64), minlength=k) + 1.0
