@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import chat_format, decontaminate, mixing, ngram_join, quality_rules, secrets, subword, token_counts, url_filter
+from vectrail.llm import chat_format, decontaminate, html_extract, mixing, ngram_join, quality_rules, secrets, subword, token_counts, url_filter
 from vectrail.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES, keys=["doc_id"])
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"), keys=["page_id", "url"])
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filter.rule_table(spark, url_filter.RULES)
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules, keys=["page_id"])
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_token_counts": op2_token_counts,
+        "op3_html_extraction": op3_html_extraction,
         "op4_url_filters": op4_url_filters,
         "op5_quality_rules": op5_quality_rules,
         "op6_secret_scans": op6_secret_scans,
