@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +152,7 @@ def train(
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = bucket_counts(W.texts_of(batch.column("_text")), bits)
         return pa.RecordBatch.from_arrays(
-            [batch.column("_doc"), batch.column("_label"), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())],
+            [batch.column("_doc"), batch.column("_label"), pa.array([compress(a.tobytes(), 1) for a, _ in found], pa.binary()), pa.array([compress(n.tobytes(), 1) for _, n in found], pa.binary())],
             ["doc", "label", "buckets", "counts"],
         )
 
@@ -161,7 +162,7 @@ def train(
     classes = sorted({r["label"] for r in got})
     if not classes:
         return Model([None], np.zeros((1, 1 << bits), np.float32), np.zeros(1), bits)
-    data = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in got]
+    data = [(np.frombuffer(decompress(r["buckets"]), np.int32), np.frombuffer(decompress(r["counts"]), np.float32)) for r in got]
     return fit(data, [classes.index(r["label"]) for r in got], classes, bits=bits, **options)
 
 
