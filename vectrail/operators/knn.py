@@ -56,17 +56,19 @@ def distances(
                     continue
                 if q.shape[1] != v.shape[1]:
                     raise ValueError(f"query vectors have {q.shape[1]} dimensions, the corpus has {v.shape[1]}")
-                groups = None
+                order = np.argsort(np.array(batch.column(0).to_pylist()), kind="stable")
+                pools = {None: order}
                 if within:
                     keys = list(zip(*(batch.column(kept.index(c)).to_pylist() for c in within), strict=True))
-                    groups = [np.array([j for j, x in enumerate(keys) if x == g]) for g in dict.fromkeys(keys)]
-                order = np.argsort(np.array(batch.column(0).to_pylist()), kind="stable")
+                    pools = {}
+                    for j in order.tolist():
+                        pools.setdefault(keys[j], []).append(j)
+                pools = [np.array(p) for p in pools.values()]
                 for at in range(0, len(ids), 256):
                     d = np.arccos(np.clip(q[at : at + 256] @ v.T, -1, 1)) / np.pi
                     who, which = [], []
                     for j in range(len(d)):
-                        for g in groups or [None]:
-                            pool = order if g is None else order[np.isin(order, g)]
+                        for pool in pools:
                             best = pool[np.argsort(d[j, pool], kind="stable")[:k]]
                             who += [at + j] * len(best)
                             which += best.tolist()

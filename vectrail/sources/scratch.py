@@ -1,10 +1,10 @@
-"""A fresh folder on storage that driver and executors share."""
+"""Fresh folders on storage that driver and executors share, and tables written there."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -13,3 +13,11 @@ def folder(spark: SparkSession, label: str) -> str:
         spark.sparkContext.setCheckpointDir("/tmp/vectrail-checkpoints")
         root = spark.sparkContext.getCheckpointDir()
     return f"{root}/vectrail-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in such a folder: it is computed once however often it is used, and
+    a lost executor costs no recomputation."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
