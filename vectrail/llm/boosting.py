@@ -30,7 +30,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 50, depth: int = 5, rate:
     """Newton boosting; each level takes the best split of every node over all features' bins."""
     n, m = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
-    binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
+    binned = [np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]
     mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     base = float(np.log(mean / (1 - mean)))
     z = np.full(n, base)
@@ -42,12 +42,12 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 50, depth: int = 5, rate:
         at = np.zeros(n, np.int64)
         for level in range(depth):
             width, first = 1 << level, (1 << level) - 1
-            node = at - first
+            node = (at - first) * bins
             best = np.full(width, 1e-6)
             for j in range(m):
                 if not len(edges[j]):
                     continue
-                key = node * bins + binned[:, j]
+                key = node + binned[j]
                 gs = np.bincount(key, g, width * bins).reshape(width, bins).cumsum(1)
                 hs = np.bincount(key, h, width * bins).reshape(width, bins).cumsum(1)
                 ga, ha = gs[:, -1:], hs[:, -1:]
