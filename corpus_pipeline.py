@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from vectrail.llm import decontaminate, mixing, ngram_join, quality_rules, secrets
 from vectrail.llm.common import table, written
+from vectrail.sources.shipping import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return quality_rules.accepted(docs)
 
 
