@@ -149,6 +149,42 @@ def test_secret_spans(spark, small):
     assert [x["text"] for x in secrets.redact(hidden).collect()] == ["é token=[SECRET] [SECRET] [SECRET] password: 'short'", None]
 
 
+def masked_by_scan(text, spans):
+    """``text`` with the spans of a scan masked, one by one."""
+    marks = []
+    for kind, start, end in (x.split(":") for x in spans.split(",") if x):
+        start, end = int(start), int(end)
+        if kind == "assign":
+            start += re.match(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", text[start:end], re.A).end()
+        marks.append((start, end))
+    out, at = "", 0
+    for start, end in sorted(marks):
+        out += text[at:start] + "[SECRET]" * (start >= at)
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_masks_are_the_spans_of_the_scan(spark):
+    r = random.Random(3)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    made = [
+        lambda: f"token={draw(string.ascii_letters + string.digits, r.randrange(3, 40))}",
+        lambda: f"API_key: '{draw('0123456789abcdef', 40)}.{draw(string.ascii_letters, 30)}'",
+        lambda: f"secret=AKIA{draw(string.ascii_uppercase, 20)}_{draw('0123456789abcdef', 20)}",
+        lambda: draw(string.ascii_letters + string.digits + "+/", r.randrange(20, 60)),
+        lambda: f"{draw('0123456789abcdef', 18)}_{draw(string.ascii_letters, 30)}",
+        lambda: draw("ab", r.randrange(20, 30)) + "1",
+        lambda: "é" + chr(0x1F600) + "\n",
+        lambda: "word",
+    ]
+    texts = [" ".join(r.choice(made)() for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 5, 8, 30, 300)] + ["", "x"]
+    texts += ["".join(r.choice(made)() for _ in range(12)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {x["doc_id"]: x["spans"] for x in secrets.digests(secrets.scan(docs, keys=["doc_id"]), key="doc_id").collect()}
+    got = {x["doc_id"]: x["text"] for x in secrets.redact(docs).collect()}
+    assert got == {k: masked_by_scan(t, spans[k]) for k, t in enumerate(texts)}
+
+
 def test_random_runs_are_told_from_words(spark):
     r = random.Random(7)
     kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,26 +40,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running_starts(lengths: Column) -> Column:
-    """Array of exclusive prefix sums (one longer than ``lengths``), with built-in functions.
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Array of exclusive prefix folds of long ``values`` by ``op`` from 0 (one longer than
+    ``values``), with built-in functions.
 
     Two levels of blocks of about sqrt(n) keep the array copies at n^1.5 instead of n^2.
     """
     zero = F.lit(0).cast("long")
-    block = F.greatest(F.ceil(F.sqrt(F.size(lengths))), F.lit(1)).cast("int")
+    block = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
     blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / block) - 1, F.lit(0)).cast("int")),
-        lambda i: F.slice(lengths, i * block + 1, block),
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block) - 1, F.lit(0)).cast("int")),
+        lambda i: F.slice(values, i * block + 1, block),
     )
 
-    def sums(xs: Column, start: Column) -> Column:
-        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    def folds(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
 
-    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: a + x))
-    offsets = sums(totals, zero)
+    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, op))
+    offsets = folds(totals, zero)
     inner = F.zip_with(
         blocks,
         F.slice(offsets, 1, F.size(totals)),
-        lambda b, o: F.slice(sums(b, o), 1, F.size(b)),
+        lambda b, o: F.slice(folds(b, o), 1, F.size(b)),
     )
     return F.concat(F.flatten(inner), F.array(F.element_at(offsets, -1)))
+
+
+def running_starts(lengths: Column) -> Column:
+    """Array of exclusive prefix sums."""
+    return running(lengths, lambda a, b: a + b)

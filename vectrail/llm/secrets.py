@@ -27,7 +27,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import LOWER, UPPER, running_starts
+from vectrail.llm.common import LOWER, UPPER, running, running_starts
 
 #: Patterns. Fixed values. The keyword's letters match in either case, ASCII only.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -151,8 +151,8 @@ def _dismissed(runs: Column, rate: float, pivot: float) -> Column:
     return F.when(F.size(runs) == 0, F.array().cast("array<boolean>")).otherwise(let(adjusted, judge))
 
 
-def _spans(text: Column, pattern: str, kind: str, matches: Column, keep: Column | None) -> Column:
-    """array<struct<start, rank, end>> of the kept matches."""
+def _spans(text: Column, pattern: str, kind: str, matches: Column, keep: Column | None, tails: Column | None = None) -> Column:
+    """array<struct<start, rank, end>> of the kept matches, or of the ``tails`` they end with."""
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     rank = KINDS.index(kind)
 
@@ -163,7 +163,7 @@ def _spans(text: Column, pattern: str, kind: str, matches: Column, keep: Column
         )
         found = F.zip_with(
             F.slice(running_starts(lengths), 2, F.size(matches)),
-            matches,
+            matches if tails is None else tails,
             lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end")),
         )
         if keep is None:
@@ -174,34 +174,32 @@ def _spans(text: Column, pattern: str, kind: str, matches: Column, keep: Column
     return F.when(F.size(matches) > 0, let(F.lit(0), placed)).otherwise(empty)
 
 
-def _found(text: Column, rate: float, pivot: float) -> dict[str, Column]:
-    return {
-        "_assign": F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)),
-        "_values": F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)),
-        "_access": F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)),
-        "_hex": F.regexp_extract_all(text, F.lit(HEX), F.lit(0)),
-        "_runs": F.regexp_extract_all(text, F.lit(RUN), F.lit(0)),
-    }
-
-
-def scan(
-    df: DataFrame, *, keys: Sequence[str], text: str = "text", rate: float = 0.05, pivot: float = 32.0
-) -> DataFrame:
-    """``keys`` and spans, array<struct<start, rank, end>> sorted by start and kind; rank is the
-    place in KINDS."""
-    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    rows = df.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def _spanned(rows: DataFrame, rate: float, pivot: float, values_only: bool = False) -> DataFrame:
+    """``rows`` with _spans of their _text, sorted by start and kind. If ``values_only``, an
+    assignment's span is its value."""
     t = F.col("_text")
-    rows = rows.withColumns(_found(t, rate, pivot))
+    patterns = {"_assign": ASSIGN, "_access": ACCESS, "_hex": HEX, "_runs": RUN}
+    found = {name: F.regexp_extract_all(t, F.lit(pattern), F.lit(0)) for name, pattern in patterns.items()}
+    found["_values"] = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
     long_enough = F.transform("_values", lambda v: F.length(v) >= ASSIGN_LEAST)
     random = F.transform(_dismissed(F.col("_runs"), rate, pivot), lambda x: ~x)
     spans = F.concat(
-        _spans(t, ASSIGN, "assign", F.col("_assign"), long_enough),
+        _spans(t, ASSIGN, "assign", F.col("_assign"), long_enough, F.col("_values") if values_only else None),
         _spans(t, ACCESS, "access", F.col("_access"), None),
         _spans(t, HEX, "hex", F.col("_hex"), None),
         _spans(t, RUN, "random", F.col("_runs"), random),
     )
-    return rows.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.array_sort(spans).alias("spans"))
+    return rows.withColumns(found).select(*rows.columns, F.array_sort(spans).alias("_spans"))
+
+
+def scan(
+    df: DataFrame, *, keys: Sequence[str], text: str = "text", rate: float = 0.05, pivot: float = 32.0
+) -> DataFrame:
+    """``keys`` and spans, array<struct<start, rank, end>> sorted by start and kind; rank is the
+    place in KINDS."""
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    rows = _spanned(df.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text")), rate, pivot)
+    return rows.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_spans").alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -221,26 +219,52 @@ def digests(spans: DataFrame, *, key: str) -> DataFrame:
     )
 
 
-def redact(df: DataFrame, *, text: str = "text", mask: str = "[SECRET]", rate: float = 0.05, pivot: float = 32.0) -> DataFrame:
-    """``df`` with every span's characters masked; of an assignment, its value. A null text stays."""
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with each group of overlapping spans replaced by one mask. The text is cut in
+    blocks of about sqrt(n) spans first, so that no cut walks all of a long text."""
 
-    def swap(t: Column, pattern: str, put: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None) -> Column:
-        matches = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    def cut(t: Column, start: Column, end: Column) -> Column:
+        return F.substring(t, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
 
-        def rebuilt(ms: Column) -> Column:
-            new = F.transform(ms, put) if keep is None else F.zip_with(ms, keep(ms), lambda m, k: F.when(k, F.lit(mask)).otherwise(m))
-            pieces = F.split(t, pattern)
-            return F.array_join(F.flatten(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
+    def rebuilt(s: Column) -> Column:
+        # Each span with how far the spans before it reach.
+        return let(
+            F.struct(
+                F.zip_with(
+                    s,
+                    F.slice(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), 1, F.size(s)),
+                    lambda x, before: F.struct(before.alias("before"), x["start"].alias("start")),
+                ).alias("gaps"),
+                F.array_max(F.transform(s, lambda x: x["end"])).alias("last"),
+                F.ceil(F.sqrt(F.size(s))).cast("int").alias("block"),
+            ),
+            blocks,
+        )
+
+    def blocks(x: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(x["gaps"]), x["block"])
+
+        def one(first: Column) -> Column:
+            own = F.slice(x["gaps"], first, x["block"])
+            base = F.element_at(own, 1)["before"]
+            until = F.coalesce(F.get(x["gaps"], first - 1 + x["block"])["before"], x["last"])
+            piece = lambda part: F.transform(
+                own,
+                lambda g: F.when(g["start"] < g["before"], F.lit("")).otherwise(
+                    F.concat(cut(part, g["before"] - base, g["start"] - base), F.lit(mask))
+                ),
+            )
+            return let(cut(text, base, until), lambda part: F.array_join(piece(part), ""))
 
-        return F.when(F.size(matches) > 0, let(matches, rebuilt)).otherwise(t)
+        return F.concat(F.array_join(F.transform(firsts, one), ""), cut(text, x["last"], F.length(text).cast("long")))
 
-    def value_masked(m: Column) -> Column:
-        head = F.regexp_extract(m, "^" + ASSIGN, 1)
-        return F.when(F.length(m) - F.length(head) >= ASSIGN_LEAST, F.concat(head, F.lit(mask))).otherwise(m)
+    return F.when(F.size(spans) > 0, let(spans, rebuilt)).otherwise(text)
 
-    c = f"`{text}`"
-    out = df.withColumn(text, swap(F.col(c), ASSIGN, value_masked))
-    for pattern in (ACCESS, HEX):
-        out = out.withColumn(text, F.regexp_replace(F.col(c), pattern, mask.replace("$", r"\$")))
-    random = lambda ms: F.transform(_dismissed(ms, rate, pivot), lambda x: ~x)
-    return out.withColumn(text, swap(F.col(c), RUN, lambda m: m, random))
+
+def redact(df: DataFrame, *, text: str = "text", mask: str = "[SECRET]", rate: float = 0.05, pivot: float = 32.0) -> DataFrame:
+    """``df`` with the spans that ``scan`` finds masked; of an assignment, its value. Spans that
+    overlap get one mask. A null text stays."""
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)]
+    rows = _spanned(df.select(*own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")), rate, pivot, values_only=True)
+    new = F.when(F.col(f"_c{df.columns.index(text)}").isNotNull(), _masked(F.col("_text"), F.col("_spans"), mask))
+    return rows.select(*[(new if c == text else F.col(f"_c{i}")).alias(c) for i, c in enumerate(df.columns)])
