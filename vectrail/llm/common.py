@@ -40,6 +40,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     """Array of exclusive prefix folds of long ``values`` by ``op`` from 0 (one longer than
     ``values``), with built-in functions.
@@ -47,23 +52,24 @@ def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     Two levels of blocks of about sqrt(n) keep the array copies at n^1.5 instead of n^2.
     """
     zero = F.lit(0).cast("long")
-    block = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block) - 1, F.lit(0)).cast("int")),
-        lambda i: F.slice(values, i * block + 1, block),
-    )
 
     def folds(xs: Column, start: Column) -> Column:
         return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
 
-    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, op))
-    offsets = folds(totals, zero)
-    inner = F.zip_with(
-        blocks,
-        F.slice(offsets, 1, F.size(totals)),
-        lambda b, o: F.slice(folds(b, o), 1, F.size(b)),
-    )
-    return F.concat(F.flatten(inner), F.array(F.element_at(offsets, -1)))
+    def cut(xs: Column) -> Column:
+        block = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), block), lambda i: F.slice(xs, i, block))
+
+    def joined(blocks: Column) -> Column:
+        return let(
+            folds(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), zero),
+            lambda starts: F.concat(
+                F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda b, o: F.slice(folds(b, o), 1, F.size(b)))),
+                F.array(F.element_at(starts, -1)),
+            ),
+        )
+
+    return let(values, lambda xs: let(cut(xs), joined))
 
 
 def running_starts(lengths: Column) -> Column:

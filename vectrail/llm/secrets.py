@@ -27,7 +27,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import LOWER, UPPER, running, running_starts
+from vectrail.llm.common import LOWER, UPPER, let, running, running_starts
 
 #: Patterns. Fixed values. The keyword's letters match in either case, ASCII only.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -50,11 +50,6 @@ ENCODINGS = (
 )
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _upper_tail(z: Column) -> Column:
     """P(N(0, 1) > z), Abramowitz and Stegun 26.2.17."""
 
@@ -156,8 +151,7 @@ def _spans(text: Column, pattern: str, kind: str, matches: Column, keep: Column
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     rank = KINDS.index(kind)
 
-    def placed(_: Column) -> Column:
-        pieces = F.split(text, pattern)
+    def placed(pieces: Column) -> Column:
         lengths = F.zip_with(
             F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: (F.length(p) + F.length(m)).cast("long")
         )
@@ -171,7 +165,7 @@ def _spans(text: Column, pattern: str, kind: str, matches: Column, keep: Column
         both = F.zip_with(found, keep, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
         return F.transform(F.filter(both, lambda b: b["k"]), lambda b: b["s"])
 
-    return F.when(F.size(matches) > 0, let(F.lit(0), placed)).otherwise(empty)
+    return F.when(F.size(matches) > 0, let(F.split(text, pattern), placed)).otherwise(empty)
 
 
 def _spanned(rows: DataFrame, rate: float, pivot: float, values_only: bool = False) -> DataFrame:
