@@ -108,6 +108,7 @@ def _packed(classes: DataFrame, percent: int, bits: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 yield from one(batch.slice(at, 8192))
+        W.release()
 
     def one(batch: pa.RecordBatch):
         nodes = batch.column("node").to_numpy()
