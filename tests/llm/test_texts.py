@@ -195,6 +195,15 @@ def test_random_runs_are_told_from_words(spark):
     assert sum("random" in got[k] for k, _ in planted) >= 110 and not any("random" in got[k] for k, _ in plain)
 
 
+def test_blocks_keep_every_run_of_bytes(monkeypatch):
+    texts = [b"", b"a", b"ab cd", b"the quick brown fox " * 9, bytes(range(97, 123)) * 5]
+    whole = subword.bucket_counts(texts, 16)
+    for size in (7, 16, 20):
+        monkeypatch.setattr(W, "BLOCK", size)
+        for (a, n), (b, m) in zip(whole, subword.bucket_counts(texts, 16), strict=True):
+            assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+
+
 def test_running_starts(spark):
     rows = spark.createDataFrame([([k % 7 for k in range(n)],) for n in (0, 1, 2, 5, 99, 1000)], "x array<long>").select("x", running_starts(F.col("x")).alias("s")).collect()
     for r in rows:

@@ -34,33 +34,32 @@ GRAMS = (3, 5)
 _SALT = [W.U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def _features(text: bytes, words: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Buckets of the features of a block of one text, kind by kind."""
+def _features(block: bytes, words: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Buckets of the features of a block of one text, kind by kind; of runs, those that begin in
+    its first W.BLOCK bytes."""
     shift = W.U(64 - bits)
     if len(words):
         yield (words * _SALT[0]) >> shift
     if len(words) > 1:
         a, b = words[:-1], words[1:]
         yield (np.where(a == b, W.U(1), W.mix(a * W.U(3) + b)) * _SALT[1]) >> shift
-    raw = np.frombuffer(b" " + text + b" ", np.uint8).astype(np.uint64)
+    raw = np.frombuffer(block, np.uint8).astype(np.uint64)
     for k, n in enumerate(GRAMS):
-        if len(raw) >= n:
-            x = raw[: len(raw) - n + 1].copy()
+        m = min(len(raw) - n + 1, W.BLOCK)
+        if m > 0:
+            x = raw[:m].copy()
             for j in range(1, n):
-                x |= raw[j : len(raw) - n + 1 + j] << W.U(8 * j)
+                x |= raw[j : m + j] << W.U(8 * j)
             yield (x * _SALT[2 + k]) >> shift
 
 
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray]]:
     words, bounds = W.hashed_words(texts, fold=False)
     for k, text in enumerate(texts):
-        own = words[bounds[k] : bounds[k + 1]]
-        if len(text) <= W.BLOCK:
-            yield k, text, own
-        else:
-            yield k, b"", own
-            for at in range(0, len(text), W.BLOCK):
-                yield k, text[at : at + W.BLOCK], own[:0]
+        raw = b" " + text + b" "
+        for at in range(0, len(raw), W.BLOCK):
+            # A block goes on for the rest of the runs that begin in it; words go with the first.
+            yield k, raw[at : at + W.BLOCK + max(GRAMS) - 1], words[bounds[k] : bounds[k + 1] if at == 0 else bounds[k]]
 
 
 def bucket_counts(texts: list[bytes], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
