@@ -254,6 +254,31 @@ def test_join_equals_all_pairs(spark, shape):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == linked(docs)
 
 
+@pytest.mark.parametrize("n_words", range(8, 14))
+def test_short_copies_of_frequent_shingles_are_linked(spark, n_words):
+    base = " ".join(f"t{k}" for k in range(n_words))
+    other = [f"t{k}" for k in range(n_words - 1)]
+    docs = [(0, base)] + [(k, f"{base} x{k}") for k in range(1, 101)]
+    docs += [(200 + k, " ".join([f"y{k}", *other])) for k in range(80)] + [(400, "t0 t1 t2"), (401, "t0 t1 t2 t3 t4")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == linked(docs)
+
+
+@pytest.mark.parametrize(("percent", "seed"), [(80, 1), (80, 2), (60, 3), (90, 4)])
+def test_short_random_texts_equal_all_pairs(spark, percent, seed):
+    r = random.Random(seed)
+    base = [f"t{k}" for k in range(16)]
+    docs = []
+    for k in range(500):
+        a = r.randrange(3)
+        own = base[a : a + r.randint(5, 13)]
+        for _ in range(r.randrange(3)):
+            own[r.choice((0, len(own) - 1, r.randrange(len(own))))] = f"x{r.randrange(3)}"
+        docs.append((k, " ".join(own)))
+    got = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent, frequent=16, block=8)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == linked(docs, percent)
+
+
 def test_join_of_one_table(spark, small):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op8_ngram_jaccard_join(spark, small).collect()}

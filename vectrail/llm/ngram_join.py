@@ -11,8 +11,9 @@ more, then for every l the first n - t + l of each share at least l (the l-prefi
 3. A document lengthens its prefix by the cost its candidates would have: l grows with the
    frequencies in its 1-prefix, and on until fewer than l of its prefix tokens are frequent
    (in over ``frequent`` classes). Frequent tokens are then left out, as a partner shares another
-   token still. Documents made up of frequent tokens also meet each other by whole sets, in order
-   of frequency among them, so that what makes one copy different comes first.
+   token still; for that, l is never above t. Documents made up of frequent tokens also meet each
+   other by whole sets, in order of frequency among them, so that what makes one copy different
+   comes first.
 4. Each document is verified first against the leader that most of its tokens have: the document
    with the smallest share of tokens of its own. That collapses groups of near copies without
    their pairs. Then the pairs that stand in different groups, and share as many tokens as both
@@ -63,9 +64,9 @@ def longest_l(n):
 
 def tier_l(n: int, percent: int) -> list[int]:
     """The values of l that a document may choose. A partner has ``percent`` of its shingles at
-    least, so stores a prefix as long."""
+    least, so stores a prefix as long, and may share no more than that, which bounds l."""
     top = longest_l(percent * n // 100)
-    return [1 + (top - 1) * k // (TIERS - 1) for k in range(TIERS)]
+    return [min(1 + (top - 1) * k // (TIERS - 1), least_shared(n, percent)) for k in range(TIERS)]
 
 
 def stored(n, percent: int):
@@ -178,7 +179,7 @@ def _figures(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
     has. A document of frequent tokens has no choice."""
     hot = F.col("df") > frequent
     top = 8 + F.floor(F.floor(F.lit(percent) * F.col("n") / 100) / 20)
-    ls = [1 + F.floor((top - 1) * k / (TIERS - 1)) for k in range(TIERS)]
+    ls = [F.least(1 + F.floor((top - 1) * k / (TIERS - 1)), F.ceil(F.lit(percent) * F.col("n") / 100)) for k in range(TIERS)]
     figures = shared.groupBy("node").agg(
         F.first("n").alias("n"),
         F.count(F.lit(1)).alias("common"),
