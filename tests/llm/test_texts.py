@@ -195,6 +195,20 @@ def test_random_runs_are_told_from_words(spark):
     assert sum("random" in got[k] for k, _ in planted) >= 110 and not any("random" in got[k] for k, _ in plain)
 
 
+@pytest.mark.parametrize("length", [128, 344, 1024, 4000])
+def test_long_random_runs_are_kept(spark, length):
+    r = random.Random(length)
+    letters = string.ascii_letters + string.digits + "+/"
+    rows = [(k, "".join(r.choice(letters) for _ in range(length))) for k in range(60)]
+    rows += [(100, "ghijklmnop9876543210" * (length // 20)), (101, "/usr/local/share" * (length // 16))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in secrets.digests(secrets.scan(docs, keys=["doc_id"]), key="doc_id").collect()}
+    assert sum(got[k] == f"random:0:{length}" for k in range(60)) >= 57
+    assert not got[100] and not got[101]
+    hidden = {x["doc_id"]: x["text"] for x in secrets.redact(docs).collect()}
+    assert all((hidden[k] == "[SECRET]") == bool(got[k]) for k in range(60))
+
+
 def test_blocks_keep_every_run_of_bytes(monkeypatch):
     texts = [b"", b"a", b"ab cd", b"the quick brown fox " * 9, bytes(range(97, 123)) * 5]
     whole = subword.bucket_counts(texts, 16)

@@ -4,8 +4,9 @@ Pattern spans are leftmost and non-overlapping for each kind. Besides them, ever
 more characters of A-Z a-z 0-9 + / _ - is tested under the null hypothesis that it is random in
 the encoding its characters imply (base 32, 36, 62, 64 or URL-safe 64): chi-squared uniformity
 over that alphabet, Wald-Wolfowitz runs about the alphabet's middle, and lag-1 serial
-correlation. The smallest p-value, times three, is divided by the length over ``pivot``: longer
-runs, on which the tests have more power, need stronger evidence to be dismissed. A
+correlation. The smallest p-value, times three, is multiplied by the length over ``pivot``: longer
+runs, on which the tests have more power, need stronger evidence to be dismissed. For runs shorter
+than ``pivot`` it is the pivot over the length, so that their weak tests dismiss no more. A
 Benjamini-Hochberg step over the text's runs then dismisses as ordinary text those whose
 hypothesis is rejected at false-discovery rate ``rate``; the rest are spans of kind ``random``.
 Runs that are wholly a hex or access span already are left out, and a run whose characters imply
@@ -135,7 +136,7 @@ def battery(run: Column) -> Column:
 
 def _dismissed(runs: Column, rate: float, pivot: float) -> Column:
     """For each run whether Benjamini-Hochberg rejects that it is random."""
-    adjusted = F.transform(runs, lambda r: battery(r) * pivot / F.length(r))
+    adjusted = F.transform(runs, lambda r: battery(r) * F.greatest(F.length(r) / pivot, pivot / F.length(r)))
 
     def judge(ps: Column) -> Column:
         ranked = F.transform(
