@@ -94,6 +94,18 @@ def test_maximin_is_a_prefix_and_silhouette_is_exact():
     assert analysis.spread(x, block=7) == pytest.approx((np.arccos(np.clip(x @ x.T, -1, 1)) / np.pi)[np.triu_indices(40, 1)].mean())
 
 
+def test_spread_of_all_rows(spark):
+    x = np.random.default_rng(5).normal(size=(10_400, 4))
+    x[:2000, 0] += 5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, "a" if k < 10_300 else "b", v.tolist()) for k, v in enumerate(x)] + [(20_000, "c", [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = {r["label"]: (r["n"], r["spread"]) for r in analysis.angular_spread(df).collect()}
+    want = {"a": (10_300, analysis.spread(x[:10_300])), "b": (100, analysis.spread(x[10_300:])), "c": (1, 0.0)}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_islands(spark):
     rng = np.random.default_rng(1)
     rows = [(k, "two", [float(v) for v in np.eye(4)[k % 2] + 0.02 * rng.standard_normal(4)]) for k in range(40)]

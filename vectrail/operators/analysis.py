@@ -49,16 +49,31 @@ def spread(x: np.ndarray, block: int = 1024) -> float:
     return total / (n * (n - 1) / 2)
 
 
-def angular_spread(df: DataFrame, label: str = "label", id: str = "vec_id", embedding: str = "embedding", most: int | None = 10_000) -> DataFrame:
-    """(label, n, spread) over at most ``most`` rows of a label; the cap bounds a group."""
+def angular_spread(
+    df: DataFrame, label: str = "label", id: str = "vec_id", embedding: str = "embedding", most: int | None = None, block: int = 5_000
+) -> DataFrame:
+    """(label, n, spread) over all pairs of a label, or of at most ``most`` rows. A label's rows are
+    dealt to blocks of about ``block``; a task sums the distances of two blocks."""
     total = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     kind = df.schema[label].dataType.simpleString()
+    own = _capped(df.select(label, id, embedding), label, id, most)
+    parts = own.groupBy(label).agg(F.count(F.lit(1)).alias("_m"), F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
+    dealt = own.join(parts, label).withColumn("_b", F.pmod(F.xxhash64(id), F.col("_parts")))
+    dealt = dealt.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    dealt = dealt.select(label, embedding, "_b", F.least("_b", "_k").alias("_i"), F.greatest("_b", "_k").alias("_j"))
 
-    def work(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({label: [own[label].iloc[0]], "spread": [spread(_rows(own[embedding]))]})
-
-    found = _capped(df.select(label, id, embedding), label, id, most).select(label, embedding).groupBy(label).applyInPandas(work, f"{label} {kind}, spread double")
-    return total.join(found, label)
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        x, first = _rows(rows[embedding]), (rows["_b"] == rows["_i"].iloc[0]).to_numpy()
+        if rows["_i"].iloc[0] == rows["_j"].iloc[0]:
+            value = spread(x) * (len(x) * (len(x) - 1) / 2)
+        else:
+            a, b = x[first], x[~first]
+            value = sum(float(np.arccos(np.clip(a[at : at + 1024] @ b.T, -1, 1)).sum()) / np.pi for at in range(0, len(a), 1024))
+        return pd.DataFrame({label: [rows[label].iloc[0]], "_s": [float(value)]})
+
+    sums = dealt.groupBy(label, "_i", "_j").applyInPandas(work, f"{label} {kind}, _s double").groupBy(label).agg(F.sum("_s").alias("_s"))
+    value = F.when(F.col("_m") < 2, 0.0).otherwise(F.col("_s") / (F.col("_m") * (F.col("_m") - 1) / 2))
+    return total.join(sums.join(parts, label).select(label, value.alias("spread")), label)
 
 
 def maximin(x: np.ndarray, k: int) -> list[int]:
