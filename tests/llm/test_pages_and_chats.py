@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -52,6 +53,41 @@ def test_parser_bears_anything():
     assert [t for t in Page("a<br>b &lt;i&gt;").text if t] == ["a b <i>"]
 
 
+LONG = "This is a sentence of an article with some words in it. " * 4
+PARTS = {
+    "Before <svg class='i'/> after the icon.<br>more": "Before after the icon. more",
+    "<p>x<svg><path d='a'/><g><circle/></g></svg>y": "xy",
+    "<svg><path><p>after a picture left open": "after a picture left open",
+    "<p>col<ins>our</ins>": "colour",
+    "<p>Choose <label>this</label> one": "Choose this one",
+    "<ins class='adsbygoogle'>buy now</ins><p>kept": "kept",
+    "<p>E <math><mi>x</mi><mo>=</mo><mn>2</mn></math>": "E x=2",
+    "<p>&am<b>p; and &lt;b&gt; &copy;": "&amp; and <b> ©",
+    "<p>1 < 2 and <3": "1 < 2 and <3",
+}
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_parts_of_an_article(trees, part):
+    got = html_extract.extract([f"<html><body><article>{part} {LONG}</article><footer>Foot</footer></body></html>"], trees)[0]
+    assert got == f"{PARTS[part]} {LONG}".strip()
+
+
+@pytest.mark.parametrize("head", ["<html><head><title>T</title><p>", "<head><meta a=b><title>T</title>", "<html><head><title>T</title><body><p>"])
+def test_a_head_left_open_ends(trees, head):
+    assert html_extract.extract([f"{head}Article. {LONG}"], trees)[0] == f"Article. {LONG}".strip()
+
+
+@pytest.mark.parametrize(
+    "unit", ["<a ", '<a ">"', "<li>", "<div>", "<!--", "<![CDATA[", "</a ", "<", "<svg>", "<script>", "<p><button><b>", "data-", "<hr><b>"]
+)
+def test_time_follows_the_length(unit):
+    begun = time.process_time()
+    Page(unit * (1_000_000 // len(unit)))
+    Page(f'<a x="{unit * 100_000}">')
+    assert time.process_time() - begun < 4
+
+
 def test_decoding_is_the_best_consistent_labelling():
     r = np.random.default_rng(0)
     for _ in range(200):

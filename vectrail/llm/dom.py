@@ -1,28 +1,37 @@
 """HTML as a tree of blocks: a lenient parser, and features of its nodes.
 
-Start and end tags are read as browsers do in the common cases: void elements, implied ends of p,
-li, dt, dd, options and table parts, unmatched ends ignored, raw text in scripts and styles. Inline
-elements make no nodes. A node is a block element or a run of text between block boundaries; nodes
-are listed in page order, so a parent comes before its children. Nothing recurses.
+Start and end tags are read as browsers do in the common cases: void elements, implied ends of
+head, p, li, dt, dd, options and table parts, unmatched ends ignored, raw text in scripts and styles,
+self-closed tags inside svg and math, which a block element ends. Inline elements make no nodes.
+Character references are decoded within a run of text, never across a tag. A node is a block element
+or a run of text between block boundaries; nodes are listed in page order, so a parent comes before
+its children. Nothing recurses, and time follows the length of the page whatever is left open.
+
+Defined results: an empty page is its root node alone; a ``<`` that begins no finished tag is text;
+where a quote is never closed, tags from there on end at the next ``>``.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html import unescape
 
 import numpy as np
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td "
-    "textarea tfoot th thead tr ul ins".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td "
+    "textarea tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style template noscript svg iframe object canvas audio video head title math textarea select".split())
+DROPPED = frozenset("script style template noscript svg iframe object canvas audio video head title textarea select".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 #: Elements whose start ends an open p.
-ENDS_P = BLOCKS - {"button", "label", "ins", "option", "select", "textarea", "body", "html"}
+ENDS_P = BLOCKS - {"button", "option", "select", "textarea", "body", "html"}
+#: Elements that leave a head open.
+HEAD = frozenset("html head base link meta title style script noscript template basefont bgsound".split())
+FOREIGN = ("svg", "math")
 SCOPES = {
     "p": frozenset("button caption html table td th object body".split()),
     "li": frozenset("ol ul menu table body html".split()),
@@ -34,11 +43,11 @@ SCOPES = {
     "th": frozenset("tr table body html".split()),
 }
 ALSO_ENDS = {"dt": ("dd", "dt"), "dd": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|data-[a-z-]*(?:type|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+BEGINS = re.compile(r"</?[a-zA-Z]")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S)
+ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|data-[a-z-]{0,40}(?:type|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 GROUPS = (
@@ -65,6 +74,7 @@ FAMILIES = {
 }
 FAMILY = {w: 1 << k for k, words in enumerate(FAMILIES.values()) for w in words.split()}
 N_FAMILIES = len(FAMILIES)
+AD = FAMILY["ad"]
 ANCESTORS = ("nav", "header", "footer", "aside", "form", "article", "main", "list", "table")
 
 
@@ -97,14 +107,15 @@ class Page:
         tags: list[str] = []
         blocks: list[int] = []  # the node of each open element, or -1 for inline ones
         here = [0]
-        opened: dict[str, int] = {}
+        opened: dict[str, list[int]] = {}  # the places among tags of the open elements of a name
         pieces: list[str] = []
         linked = dropped = links = at = 0
+        size, last, quotes = len(html), html.rfind(">"), True
 
         def flush() -> None:
             nonlocal linked
             if pieces:
-                own = " ".join(unescape("".join(pieces)).split()) if "\0" not in pieces else " ".join("".join(" " if x == "\0" else unescape(x) for x in pieces).split())
+                own = " ".join("".join(pieces).split())
                 if own:
                     self._node(here[-1], self.group[here[-1]], self.family[here[-1]], own, min(linked, len(own)))
                 pieces.clear()
@@ -113,7 +124,7 @@ class Page:
         def close() -> None:
             nonlocal dropped, links
             tag, node = tags.pop(), blocks.pop()
-            opened[tag] -= 1
+            opened[tag].pop()
             if tag in DROPPED:
                 dropped -= 1
             if tag == "a":
@@ -122,73 +133,86 @@ class Page:
                 flush()
                 here.pop()
 
-        def close_to(names: tuple[str, ...], scope: frozenset[str]) -> None:
-            for k in range(len(tags) - 1, -1, -1):
-                if tags[k] in names:
-                    while len(tags) > k:
-                        close()
-                    return
-                if tags[k] in scope:
-                    return
+        def place(names: Iterable[str]) -> int:
+            """Of the last open element of these names, or -1."""
+            return max((own[-1] for x in names if (own := opened.get(x))), default=-1)
+
+        def close_to(names: Iterable[str], scope: Iterable[str] = ()) -> None:
+            k = place(names)
+            if k > place(scope):
+                while len(tags) > k:
+                    close()
+
+        def token(lt: int) -> re.Match | None:
+            nonlocal quotes
+            if not BEGINS.match(html, lt):
+                return MARK.match(html, lt)
+            if lt > last:
+                return None
+            found = TAG.match(html, lt) if quotes else None
+            quotes = found is not None
+            return found or PLAIN_TAG.match(html, lt)
 
-        size = len(html)
         while at < size:
             lt = html.find("<", at)
-            m = TOKEN.match(html, lt) if lt >= 0 else None
+            m = token(lt) if lt >= 0 else None
             while lt >= 0 and m is None:
                 lt = html.find("<", lt + 1)
-                m = TOKEN.match(html, lt) if lt >= 0 else None
+                m = token(lt) if lt >= 0 else None
             end = lt if lt >= 0 else size
-            if end > at and not dropped:
-                pieces.append(html[at:end])
-                if links:
-                    linked += end - at
+            if end > at:
+                if dropped and tags[-1] == "head" and not html[at:end].isspace():
+                    close()
+                if not dropped:
+                    pieces.append(unescape(html[at:end]))
+                    if links:
+                        linked += end - at
             if m is None:
                 break
             at = m.end()
-            tag = m[2] or m[5]
-            if tag is None:
+            if m.re is MARK:
                 continue
-            tag = tag.lower()
-            if m[1] or m[4]:
+            tag, attributes = m[2].lower(), m[3]
+            if m[1]:
                 if opened.get(tag):
-                    while tags[-1] != tag:
-                        close()
-                    close()
+                    close_to((tag,))
                 elif tag in BLOCKS:
                     flush()
                 continue
+            if opened.get("head") and tag not in HEAD and not opened.get("template"):
+                close_to(("head",))
+            foreign = place(FOREIGN)
+            if foreign >= 0 and tag in ENDS_P and foreign > place(("foreignobject", "desc", "title", "annotation-xml", "mtext")):
+                close_to(FOREIGN)
+                foreign = -1
+            if (foreign >= 0 or tag in FOREIGN) and attributes.endswith("/"):
+                continue
             if tag == "br":
-                pieces.append("\0")
+                pieces.append(" ")
                 continue
-            if tag == "body":
-                while opened.get("head"):
-                    close()
             if tag in ENDS_P and opened.get("p"):
                 close_to(("p",), SCOPES["p"])
-            if tag in SCOPES and tag != "p" and any(opened.get(x) for x in ALSO_ENDS.get(tag, (tag,))):
+            if tag in SCOPES and tag != "p":
                 close_to(ALSO_ENDS.get(tag, (tag,)), SCOPES[tag])
-            attributes = m[3] if m[2] else m[6]
             if tag in VOID:
                 if tag == "hr":
                     flush()
                 continue
-            if attributes.endswith("/") and tag in ("path", "use", "circle", "rect"):
-                continue
+            family = families(attributes) if (tag in BLOCKS or tag == "ins") and attributes.strip() else 0
             node = -1
-            if tag in BLOCKS:
+            # An inserted text is inline, an inserted advert a block.
+            if tag in BLOCKS or family & AD:
                 flush()
-                family = families(attributes) if attributes.strip() else 0
                 node = self._node(here[-1], GROUP.get(tag, GROUP["other"]), family, None)
                 here.append(node)
+            opened.setdefault(tag, []).append(len(tags))
             tags.append(tag)
             blocks.append(node)
-            opened[tag] = opened.get(tag, 0) + 1
             if tag in DROPPED:
                 dropped += 1
             if tag == "a":
                 links += 1
-            if tag in RAW:
+            if tag in RAW and foreign < 0:
                 stop = re.compile(rf"</{tag}\b", re.I).search(html, at)
                 at = stop.start() if stop else size
         flush()
