@@ -44,9 +44,9 @@ def labelled(html: str) -> tuple[Page, np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 700, seed: int = 11, **options) -> boosting.Trees:
+def trained(pages: int = 900, seed: int = 13, trees: int = 90, **options) -> boosting.Trees:
     made = [labelled(x) for x in sample_pages.pages(pages, seed)]
-    return boosting.fit(np.concatenate([features(p) for p, _ in made]), np.concatenate([y for _, y in made]).astype(float), **options)
+    return boosting.fit(np.concatenate([features(p) for p, _ in made]), np.concatenate([y for _, y in made]).astype(float), trees=trees, **options)
 
 
 def decode(parent: list[int], logits: np.ndarray, most: float = 6.0) -> np.ndarray:
