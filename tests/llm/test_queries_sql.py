@@ -13,4 +13,4 @@ def test_equals_sql(spark, small, same_rows, name):
 
 
 def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))

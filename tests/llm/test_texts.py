@@ -1,6 +1,7 @@
 """Operators on texts against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -195,6 +196,94 @@ def test_random_runs_are_told_from_words(spark):
     assert sum("random" in got[k] for k, _ in planted) >= 110 and not any("random" in got[k] for k, _ in plain)
 
 
+def tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def battery_by_hand(run, e):
+    """(ordinary, random) of a run in an encoding, from its characters."""
+    n, k = len(run), len(e.alphabet)
+    counts = [run.count(c) for c in e.alphabet]
+    x = sum((c - n / k) ** 2 / (n / k) for c in counts)
+    places = [e.alphabet.index(c) for c in run]
+    uniform = tail(((x / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1))))
+    high = [p >= k / 2 for p in places]
+    n1, turns = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * n1 * (n - n1) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    turning = 2 * tail(abs(turns - mean) / math.sqrt(spread)) if 0 < n1 < n and spread > 0 else 0.0
+    m = sum(places) / n
+    around = sum((p - m) ** 2 for p in places)
+    lag = sum((a - m) * (b - m) for a, b in zip(places, places[1:]))
+    serial = 2 * tail(abs(lag / around + 1 / n) * math.sqrt(n)) if around else 0.0
+    expected = n * (k * e.coincidence - 1)
+    z = (k - 1 + expected - x) / math.sqrt(2 * (k - 1 + 2 * expected))
+    if e.cuts:
+        kinds = [sum(p >= c for c in e.cuts) for p in places]
+        changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+        z = (z + (changes - (n - 1) * e.changes) / math.sqrt((n - 1) * e.changes * (1 - e.changes))) / math.sqrt(2)
+    return tail(z), 3 * min(uniform, turning, serial)
+
+
+def test_battery_equals_another(spark):
+    r = random.Random(9)
+    runs = [(k, "".join(r.choice(e.alphabet[: r.choice((2, 5, 99))]) for _ in range(r.randint(20, 90)))) for k, e in enumerate(secrets.ENCODINGS) for _ in range(12)]
+    first = lambda run: next(e for e in secrets.ENCODINGS if re.match(e.pattern, run))
+    df = spark.createDataFrame([(k, run) for k, (_, run) in enumerate(runs)], "id long, run string")
+    got = {x["id"]: x["p"] for x in df.select("id", secrets.battery(F.col("run")).alias("p")).collect()}
+    for k, (_, run) in enumerate(runs):
+        if re.fullmatch(f"{secrets.HEX}|{secrets.ACCESS}", run):
+            assert (got[k]["ordinary"], got[k]["random"]) == (1, 0)
+        else:
+            want = battery_by_hand(run, first(run))
+            assert abs(got[k]["ordinary"] - want[0]) < 1e-6 and abs(got[k]["random"] - want[1]) < 1e-6
+
+
+SETS = {
+    "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_",
+    "base32": string.ascii_uppercase + "234567", "base36": string.digits + string.ascii_lowercase, "base16": string.digits + "ABCDEF",
+}
+
+
+def test_found_shares_grow_with_length(spark):
+    r = random.Random(12)
+    rows = [(name, n, "".join(r.choice(a) for _ in range(n))) for name, a in SETS.items() for n in (64, 128, 512, 2048, 4096) for _ in range(60)]
+    docs = spark.createDataFrame([(k, x) for k, (_, _, x) in enumerate(rows)], "doc_id long, text string").repartition(8)
+    found = defaultdict(int)
+    for x in secrets.scan(docs, keys=["doc_id"]).collect():
+        name, n, _ = rows[x["doc_id"]]
+        found[name, n] += any(s["rank"] == 3 and s["end"] - s["start"] == n for s in x["spans"])
+    assert min(found.values()) >= 54 and min(v for (_, n), v in found.items() if n >= 512) >= 57
+
+
+def test_ordinary_identifiers_stay(spark):
+    r = random.Random(13)
+    words = [w for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect() for w in re.findall("[A-Za-z]{4,}", x["text"] or "")]
+    shapes = ["_".join, "".join, "/".join, lambda ws: "".join(w.capitalize() for w in ws), lambda ws: "".join(f"{w}{r.randint(1, 99)}" for w in ws), lambda ws: "-".join(ws) + f"-{r.randint(1, 10**8)}"]
+    made = [x for x in (r.choice(shapes)([r.choice(words).lower() for _ in range(r.randint(3, 8))]) for _ in range(900)) if len(x) >= 20]
+    known = [
+        "chapter1section2paragraph3item4", "/usr/local/share/dictionary/words", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "IMG_20230405_123456_HDR_portrait",
+        "com/example/project/module/FileNameUtils", "2023-04-05T12-34-56-789Z-backup-full", "abcdefghijklmnopqrstuvwxyz0123456789", "getElementsByTagNameAndClassName",
+    ]
+    docs = spark.createDataFrame(list(enumerate(known + made)), "doc_id long, text string").repartition(8)
+    found = {x["doc_id"] for x in secrets.scan(docs, keys=["doc_id"]).collect() if any(s["rank"] == 3 for s in x["spans"])}
+    assert not found & set(range(len(known))) and len(found) <= 0.01 * len(made)
+
+
+def test_keys_in_runs_of_all_symbols(spark):
+    r = random.Random(14)
+    key = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    rows = []
+    for _ in range(30):
+        a, b, c = key(36, SETS["base62"]), key(32, SETS["base62"]), key(44, SETS["base64"])
+        rows += [(f"//ghp_{a}@host", a), (f"/v1/sk_live_{b}", b), (f"key-{c}", c)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    good = 0
+    for x in secrets.redact(docs).collect():
+        good += rows[x["doc_id"]][1] not in x["text"] and "[SECRET]" in x["text"]
+    assert good >= 86
+
+
 @pytest.mark.parametrize("length", [128, 344, 1024, 4000])
 def test_long_random_runs_are_kept(spark, length):
     r = random.Random(length)

@@ -40,6 +40,16 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), keys=["doc_id"]), key="doc_id")
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def token_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can express."""
+    return op2_token_counts(spark, sf_dir).select("doc_id", "n_words")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = F.lit("<|im_end|><|im_start|>assistant ok").alias("text")
@@ -76,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
+        "secret_base_counts": secret_base_counts,
+        "token_words": token_words,
     }
 
 
@@ -85,4 +97,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filters": url_filter.ORACLE,
         "op5_quality_rules": quality_rules.ORACLE,
         "op7_chat_formatting": chat_format.ORACLE,
+        "secret_base_counts": secrets.ORACLE,
+        "token_words": r"select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n_words from documents",
     }

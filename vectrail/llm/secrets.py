@@ -1,16 +1,23 @@
 """Secret scans: fixed patterns and a battery of randomness tests (DataFrame functions only).
 
-Pattern spans are leftmost and non-overlapping for each kind. Besides them, every run of 20 or
-more characters of A-Z a-z 0-9 + / _ - is tested under the null hypothesis that it is random in
-the encoding its characters imply (base 32, 36, 62, 64 or URL-safe 64): chi-squared uniformity
-over that alphabet, Wald-Wolfowitz runs about the alphabet's middle, and lag-1 serial
-correlation. The smallest p-value, times three, is multiplied by the length over ``pivot``: longer
-runs, on which the tests have more power, need stronger evidence to be dismissed. For runs shorter
-than ``pivot`` it is the pivot over the length, so that their weak tests dismiss no more. A
-Benjamini-Hochberg step over the text's runs then dismisses as ordinary text those whose
-hypothesis is rejected at false-discovery rate ``rate``; the rest are spans of kind ``random``.
-Runs that are wholly a hex or access span already are left out, and a run whose characters imply
-no single encoding, as in a path, is ordinary text.
+Pattern spans are leftmost and non-overlapping for each kind. Besides them, every run of 20 or more
+characters of A-Z a-z 0-9 and + / or _ - is tested in the encoding that its characters imply: letters
+of one case, base 16, 32, 36, 62, 64 or URL-safe 64. Two questions are asked of a run of n characters:
+
+* Can it be ordinary text? Letters of a language coincide more often than random ones, so that
+  chi-squared about uniformity is noncentral with n * (k * coincidence - 1), and digits, capitals and
+  small letters come in groups, so that neighbours differ in class in ``changes`` of all places only.
+  The scores of both, the latter where an encoding has classes, are added (Stouffer) to a p-value.
+* Can it be random? Chi-squared, Wald-Wolfowitz runs about the alphabet's middle and lag-1 serial
+  correlation are tested under uniformity; the smallest p-value, times the number of tests, has to
+  reach ``alpha``. Counting and keyboard orders, though uniform, fail here.
+
+Reported, as kind ``random``, are the runs that can't be ordinary by a Benjamini-Hochberg step over
+the p-values of the text's runs at rate ``rate``, and can be random. So the share of ordinary runs
+among the reported is what is controlled; as the noncentrality and the spread of changes follow the
+length, a long run needs as little luck to be told as its evidence allows, and the share of random
+runs that is found grows with length. Runs that are wholly a hex or access span are left out. A run of
+all three kinds of symbols is cut at + and /, or else at _ and -.
 
 Scale: one pass over the texts, no shuffle, no Python. Texts without a match, nearly all, cost one
 search a pattern; starts come from running sums in blocks, so a text of n spans costs n^1.5.
@@ -24,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,20 +42,38 @@ from vectrail.llm.common import LOWER, UPPER, let, running, running_starts
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Letters of one case, or capitalised, are a word: no encoding of 20 characters looks so.
-WORD = r"[A-Z]?[a-z]+|[A-Z]+"
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+RUN = (
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{20,}+(?![_-])"
+    r"|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"
+    r"|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+"
+)
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "random")
 DIGITS = "0123456789"
-#: Pattern of the whole run -> its alphabet, the first that fits.
+
+
+class Encoding(NamedTuple):
+    """An alphabet in order of its classes, which begin at ``cuts``, and what ordinary text in it
+    is like: how often two of its characters coincide, and neighbours differ in class."""
+
+    pattern: str
+    alphabet: str
+    cuts: tuple[int, ...] = ()
+    coincidence: float = 0.06
+    changes: float = 0.25
+
+
+#: The first that fits the whole run.
 ENCODINGS = (
-    (r"^[A-Z2-7]+$", UPPER + "234567"),
-    (r"^[a-z0-9]+$", DIGITS + LOWER),
-    (r"^[A-Z0-9]+$", DIGITS + UPPER),
-    (r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
-    (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
-    (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    Encoding(r"^[a-z]+$", LOWER),
+    Encoding(r"^[A-Z]+$", UPPER),
+    Encoding(r"^[A-F0-9]+$", DIGITS + UPPER[:6], (10,), 0.1),
+    Encoding(r"^[A-Z2-7]+$", UPPER + "234567", (26,), 0.06, 0.2),
+    Encoding(r"^[a-z0-9]+$", DIGITS + LOWER, (10,)),
+    Encoding(r"^[A-Z0-9]+$", DIGITS + UPPER, (10,)),
+    Encoding(r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER, (10, 36), 0.05, 0.3),
+    Encoding(r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", (26, 52, 62), 0.05, 0.3),
+    Encoding(r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", (26, 52, 62), 0.05, 0.3),
 )
 
 
@@ -72,13 +98,13 @@ def _chi2(run: Column, n: Column, alphabet: str) -> Column:
         F.lit(0.0),
         lambda acc, c: acc + F.pow(n - F.length(F.replace(run, c, F.lit(""))), F.lit(2.0)),
     )
-    k = len(alphabet)
+    return F.greatest(squares * len(alphabet) / n - n, F.lit(0.0))
+
+
+def _uniform(x: Column, k: int) -> Column:
+    """P(chi-squared > x) under uniformity, by Wilson and Hilferty."""
     df = k - 1
-    spread = math.sqrt(2 / (9 * df))
-    return let(
-        squares * k / n - n,
-        lambda x: _upper_tail((F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / spread),
-    )
+    return _upper_tail((F.pow(x / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
 
 
 def _total(xs: Column, f: Callable[[Column], Column]) -> Column:
@@ -120,31 +146,56 @@ def _serial(places: Column, n: Column) -> Column:
     return let(_total(places, lambda x: x) / n, test)
 
 
+def _ordinary(x: Column, places: Column, n: Column, e: Encoding) -> Column:
+    """How likely ordinary text is as uniform, and changes class as often."""
+    df = len(e.alphabet) - 1
+    more = n * (len(e.alphabet) * e.coincidence - 1)
+    score = (df + more - x) / F.sqrt(2 * (df + 2 * more))
+    if not e.cuts:
+        return _upper_tail(score)
+
+    def kind(place: Column) -> Column:
+        return sum((F.when(place >= c, 1).otherwise(0) for c in e.cuts), F.lit(0))
+
+    def changed(kinds: Column) -> Column:
+        near = F.zip_with(F.slice(kinds, 1, (n - 1).cast("int")), F.slice(kinds, 2, (n - 1).cast("int")), lambda a, b: F.when(a != b, 1.0).otherwise(0.0))
+        return (_total(near, lambda c: c) - (n - 1) * e.changes) / F.sqrt((n - 1) * (e.changes * (1 - e.changes)))
+
+    return _upper_tail((score + let(F.transform(places, kind), changed)) / math.sqrt(2))
+
+
 def battery(run: Column) -> Column:
-    """The smallest p-value of the three tests, times three; 0 where no encoding is implied."""
+    """struct<ordinary, random>: the p-values of the two questions. A run that is a hex or access
+    span, or in no one encoding, is ordinary."""
     n = F.length(run).cast("double")
-    p = F.lit(0.0)
-    for pattern, alphabet in reversed(ENCODINGS):
-        places = F.transform(F.split(run, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))  # noqa: B023
-        found = let(
-            places,
-            lambda xs: F.least(_chi2(run, n, alphabet), _runs(xs, n, len(alphabet)), _serial(xs, n)) * 3,  # noqa: B023
-        )
-        p = F.when(run.rlike(pattern), found).otherwise(p)
-    return F.when(run.rlike(rf"^({HEX}|{ACCESS}|{WORD})$"), F.lit(0.0)).otherwise(p)
+    none = F.struct(F.lit(1.0).alias("ordinary"), F.lit(0.0).alias("random"))
 
+    def tested(e: Encoding) -> Column:
+        k = len(e.alphabet)
+        places = F.transform(F.split(run, ""), lambda c: (F.instr(F.lit(e.alphabet), c) - 1).cast("double"))
 
-def _dismissed(runs: Column, rate: float, pivot: float) -> Column:
-    """For each run whether Benjamini-Hochberg rejects that it is random."""
-    adjusted = F.transform(runs, lambda r: battery(r) * F.greatest(F.length(r) / pivot, pivot / F.length(r)))
+        def both(xs: Column, x: Column) -> Column:
+            random = F.least(_uniform(x, k), _runs(xs, n, k), _serial(xs, n)) * 3
+            return F.struct(_ordinary(x, xs, n, e).alias("ordinary"), random.alias("random"))
+
+        own = F.struct(places.alias("places"), _chi2(run, n, e.alphabet).alias("x"))
+        return let(own, lambda s: both(s["places"], s["x"]))
+
+    found = none
+    for e in reversed(ENCODINGS):
+        found = F.when(run.rlike(e.pattern), tested(e)).otherwise(found)
+    return F.when(run.rlike(rf"^({HEX}|{ACCESS})$"), none).otherwise(found)
 
-    def judge(ps: Column) -> Column:
-        ranked = F.transform(
-            F.array_sort(ps), lambda p, i: F.when(p <= F.lit(rate) * (i + 1) / F.size(ps), p).otherwise(F.lit(-1.0))
-        )
-        return let(F.array_max(ranked), lambda most: F.transform(ps, lambda p: p <= most))
 
-    return F.when(F.size(runs) == 0, F.array().cast("array<boolean>")).otherwise(let(adjusted, judge))
+def _reported(runs: Column, rate: float, alpha: float) -> Column:
+    """For each run whether Benjamini-Hochberg rejects that it is ordinary, and it can be random."""
+
+    def judge(tests: Column) -> Column:
+        ordered = F.array_sort(F.transform(tests, lambda t: t["ordinary"]))
+        passed = F.transform(ordered, lambda p, i: F.when(p <= F.lit(rate) * (i + 1) / F.size(tests), p).otherwise(F.lit(-1.0)))
+        return let(F.array_max(passed), lambda most: F.transform(tests, lambda t: (t["ordinary"] <= most) & (t["random"] >= alpha)))
+
+    return F.when(F.size(runs) == 0, F.array().cast("array<boolean>")).otherwise(let(F.transform(runs, battery), judge))
 
 
 def _spans(text: Column, pattern: str, kind: str, matches: Column, keep: Column | None, tails: Column | None = None) -> Column:
@@ -169,7 +220,7 @@ def _spans(text: Column, pattern: str, kind: str, matches: Column, keep: Column
     return F.when(F.size(matches) > 0, let(F.split(text, pattern), placed)).otherwise(empty)
 
 
-def _spanned(rows: DataFrame, rate: float, pivot: float, values_only: bool = False) -> DataFrame:
+def _spanned(rows: DataFrame, rate: float, alpha: float, values_only: bool = False) -> DataFrame:
     """``rows`` with _spans of their _text, sorted by start and kind. If ``values_only``, an
     assignment's span is its value."""
     t = F.col("_text")
@@ -177,7 +228,7 @@ def _spanned(rows: DataFrame, rate: float, pivot: float, values_only: bool = Fal
     found = {name: F.regexp_extract_all(t, F.lit(pattern), F.lit(0)) for name, pattern in patterns.items()}
     found["_values"] = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
     long_enough = F.transform("_values", lambda v: F.length(v) >= ASSIGN_LEAST)
-    random = F.transform(_dismissed(F.col("_runs"), rate, pivot), lambda x: ~x)
+    random = _reported(F.col("_runs"), rate, alpha)
     spans = F.concat(
         _spans(t, ASSIGN, "assign", F.col("_assign"), long_enough, F.col("_values") if values_only else None),
         _spans(t, ACCESS, "access", F.col("_access"), None),
@@ -188,12 +239,12 @@ def _spanned(rows: DataFrame, rate: float, pivot: float, values_only: bool = Fal
 
 
 def scan(
-    df: DataFrame, *, keys: Sequence[str], text: str = "text", rate: float = 0.05, pivot: float = 32.0
+    df: DataFrame, *, keys: Sequence[str], text: str = "text", rate: float = 0.02, alpha: float = 0.001
 ) -> DataFrame:
     """``keys`` and spans, array<struct<start, rank, end>> sorted by start and kind; rank is the
     place in KINDS."""
     own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    rows = _spanned(df.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text")), rate, pivot)
+    rows = _spanned(df.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text")), rate, alpha)
     return rows.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_spans").alias("spans"))
 
 
@@ -256,10 +307,18 @@ def _masked(text: Column, spans: Column, mask: str) -> Column:
     return F.when(F.size(spans) > 0, let(spans, rebuilt)).otherwise(text)
 
 
-def redact(df: DataFrame, *, text: str = "text", mask: str = "[SECRET]", rate: float = 0.05, pivot: float = 32.0) -> DataFrame:
+def redact(df: DataFrame, *, text: str = "text", mask: str = "[SECRET]", rate: float = 0.02, alpha: float = 0.001) -> DataFrame:
     """``df`` with the spans that ``scan`` finds masked; of an assignment, its value. Spans that
     overlap get one mask. A null text stays."""
     own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)]
-    rows = _spanned(df.select(*own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")), rate, pivot, values_only=True)
+    rows = _spanned(df.select(*own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")), rate, alpha, values_only=True)
     new = F.when(F.col(f"_c{df.columns.index(text)}").isNotNull(), _masked(F.col("_text"), F.col("_spans"), mask))
     return rows.select(*[(new if c == text else F.col(f"_c{i}")).alias(c) for i, c in enumerate(df.columns)])
+
+
+ORACLE = rf"""
+select doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '{ASSIGN.replace("'", "''")}', 2), lambda v: length(v) >= {ASSIGN_LEAST})) as n_assign,
+  len(regexp_extract_all(coalesce(text, ''), '{ACCESS}')) as n_access, len(regexp_extract_all(coalesce(text, ''), '{HEX}')) as n_hex
+from documents
+"""
