@@ -64,6 +64,15 @@ def test_odd_rows(docs, items, labels, name):
     assert len(out.collect()) == COUNTS[name]
 
 
+def test_odd_rows_are_mixed(docs, labels):
+    odd = docs.withColumn("_doc", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("posteriors", F.lit(2)).withColumn("rate", F.lit("gone"))
+    found = mixing.rates(odd, labels, least_steps=20).where("copies > 0").count()
+    got = mixing.mix(odd, labels, least_steps=20)
+    rows = got.collect()
+    assert 7 <= len(rows) == found and set(got.columns) == {*docs.columns, "_doc", "a.b", "posteriors", "rate", "copies"}
+    assert {(r["_doc"], r["a.b"], r["posteriors"], r["label"]) for r in rows} == {("x", 1, 2, "l")} and all(r["rate"] >= 0 for r in rows)
+
+
 def test_defined_results(docs, items, labels):
     made = operators(items, labels)
     got = {r["doc_id"]: r for r in made["8"](docs).where("doc_id is not null").collect()}
@@ -81,7 +90,7 @@ def test_defined_results(docs, items, labels):
 def test_unlabelled(spark, docs, labels):
     none = labels.limit(0)
     assert {r["score"] for r in subword.quality(docs, none).collect()} == {0.5}
-    assert {r["rate"] for r in mixing.rates(docs, none).where("n_words = 0").collect()} == {1.0}
+    assert {r["rate"] for r in mixing.rates(docs, none).where("n_tokens = 0").collect()} == {1.0}
 
 
 def test_pipeline_stages_keep_columns(spark, small):

@@ -69,13 +69,13 @@ def test_token_counts_equal_a_library():
     library = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
     r = random.Random(4)
     words = ["".join(r.choice("abcdeinorstuéß!") for _ in range(r.randint(1, 18))) for _ in range(1500)] + ["日本", "🙂🙂x", "a" * 200]
-    for trie in (token_counts.Trie(pieces), token_counts.Trie(pieces, max_nodes=50)):
+    for trie in (token_counts.Trie(token_counts.Pieces(pieces)), token_counts.Trie(token_counts.Pieces(pieces), max_nodes=50, deep=7)):
         assert [trie[w.encode()] for w in words] == [len(library.encode(token_counts.MARK + w, add_special_tokens=False).ids) for w in words]
 
 
 def test_tokens_equal_brute_force_segmentation():
     pieces = {"▁a": -1.0, "▁ab": -2.5, "b": -1.0, "bc": -1.2, "c": -3.0, "▁": -0.5, "a": -2.0}
-    trie = token_counts.Trie(pieces)
+    trie = token_counts.Trie(token_counts.Pieces(pieces))
 
     def best(text):
         found = [(0.0, 0)] + [(-1e9, 0)] * len(text)
@@ -89,9 +89,18 @@ def test_tokens_equal_brute_force_segmentation():
         assert trie[word.encode()] == best("▁" + word)
 
 
+def test_a_word_of_any_length_keeps_few_nodes():
+    pieces = token_counts.Pieces(token_counts.zipf_pieces(queries.PIECES))
+    trie, whole = token_counts.Trie(pieces, max_nodes=1000), token_counts.Trie(pieces, deep=1 << 30)
+    word = b"thereisnospaceinthistext0123" * 700
+    assert trie[word] == whole[word] and len(trie.best) <= 65 and len(whole.best) > 19_000
+    for k in range(3000):
+        assert trie[b"%d" % k] > 0 and len(trie.best) <= 1065
+
+
 def test_query_op2_sums_words(spark, small):
     rows = {r["doc_id"]: r for r in queries.op2_token_counts(spark, small).collect()}
-    trie = token_counts.Trie(token_counts.zipf_pieces(queries.PIECES))
+    trie = token_counts.Trie(token_counts.Pieces(token_counts.zipf_pieces(queries.PIECES)))
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
         words = r["text"].encode().split()
         assert (rows[r["doc_id"]]["n_words"], rows[r["doc_id"]]["n_tokens"]) == (len(words), sum(trie[w] for w in words))
@@ -428,7 +437,7 @@ def test_mixture_meets_its_targets(spark):
     r = np.random.default_rng(9)
     p = r.dirichlet((2, 1, 1), 500)
     words = r.integers(0, 200, 500)
-    scored = spark.createDataFrame([(int(w), [float(x) for x in q]) for w, q in zip(words, p, strict=True)], "n_words long, posteriors array<double>")
+    scored = spark.createDataFrame([(int(w), [float(x) for x in q]) for w, q in zip(words, p, strict=True)], "n_tokens long, posteriors array<double>")
     goal = (words.sum() * np.array([0.7, 0.2, 0.1])).tolist()
     steps = mixing.fit_rates(scored, goal)
     rate = np.ones(500)
@@ -438,9 +447,47 @@ def test_mixture_meets_its_targets(spark):
     assert (rate * words) @ p == pytest.approx(np.array(goal), rel=1e-4)
 
 
+def least_squares(p, tokens, goal):
+    """The least shortfall of nonnegative rates, by accelerated projected gradient over all rates."""
+    a = (p * tokens[:, None]).T
+    size = np.linalg.eigvalsh(a @ a.T).max()
+    rate = ahead = np.ones(len(tokens))
+    pace = 1.0
+    for _ in range(60_000):
+        new = np.maximum(ahead - a.T @ (a @ ahead - goal) / size, 0)
+        quicker = (1 + (1 + 4 * pace**2) ** 0.5) / 2
+        rate, ahead, pace = new, new + (pace - 1) / quicker * (new - rate), quicker
+    return a @ rate
+
+
+@pytest.mark.parametrize("shape, goal", [((1, 1, 1), (0.05, 0.9, 0.05)), ((20, 1, 20), (0.05, 0.9, 0.05)), ((5, 1, 0.2), (1 / 3, 1 / 3, 1 / 3)), ((50, 50, 50), (0.9, 0.05, 0.05)), ((1, 1), (0.5, 0.3, 0.2))])
+def test_fit_is_the_least_squares(spark, shape, goal):
+    r = np.random.default_rng(5)
+    p = r.dirichlet(shape, 300)
+    if len(shape) < 3:
+        p = np.column_stack([p, np.zeros(300)])
+    tokens = r.lognormal(5, 1.5, 300).astype(int) + 1
+    total = tokens.sum()
+    scored = spark.createDataFrame([(int(w), [float(x) for x in q]) for w, q in zip(tokens, p, strict=True)], "n_tokens long, posteriors array<double>").coalesce(1)
+    steps = mixing.fit_rates(scored, [total * g for g in goal])
+    rate, shorts = np.ones(300), [1e9]
+    for s in steps:
+        rate = np.maximum(rate - p @ np.array(s), 0)
+        shorts.append(np.linalg.norm((rate * tokens) @ p / total - goal))
+    assert (rate >= 0).all() and shorts == sorted(shorts, reverse=True)
+    want = np.linalg.norm(least_squares(p, tokens / total, np.array(goal)) - goal)
+    assert shorts[-1] <= want + 1e-4 and abs(shorts[-1] - want) < 1e-2
+
+
+def test_a_fit_that_does_not_converge_is_an_error(spark):
+    scored = spark.createDataFrame([(9, [0.9, 0.1]), (5, [0.2, 0.8]), (7, [0.6, 0.4])], "n_tokens long, posteriors array<double>").coalesce(1)
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(scored, [1.0, 20.0], most_rounds=1)
+
+
 def test_query_op10(spark, small):
     rows = queries.op10_mixing(spark, small).collect()
-    total = sum(r["n_words"] for r in rows)
+    total = sum(r["n_tokens"] for r in rows)
     for domain, share in mixing.TARGETS.items():
-        assert sum(r["rate"] * r["n_words"] * r[f"p_{domain}"] for r in rows) == pytest.approx(share * total, rel=1e-3)
+        assert sum(r["rate"] * r["n_tokens"] * r[f"p_{domain}"] for r in rows) == pytest.approx(share * total, rel=1e-3)
     assert all(abs(r["copies"] - r["rate"]) < 1 for r in rows)

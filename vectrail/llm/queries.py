@@ -71,7 +71,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), pieces=PIECES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

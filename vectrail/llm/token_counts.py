@@ -11,7 +11,8 @@ covers scores 10 below the worst piece and counts one token for each of its byte
 scores the segmentation whose last piece is longest wins.
 
 Scale: one pass, no shuffle. The driver reads the file and sends its pieces (tens of thousands).
-Each task keeps a trie of at most ``max_nodes`` nodes, then starts anew.
+Each task keeps a trie of at most ``max_nodes`` nodes, then starts anew. A word of any length, such
+as a text without spaces, adds ``deep`` nodes at most.
 
 Defined results: words are runs of bytes other than space and 0x09-0x0D; a null or empty text has
 no tokens; repeated rows are counted each; an empty table gives no rows. Only key columns are
@@ -43,14 +44,33 @@ def zipf_pieces(path: str) -> dict[str, float]:
     return {p.id_to_piece(k): -math.log(r + 1) for r, k in enumerate(own)}
 
 
-class Trie(dict):
-    """Word -> terminal count, computed when first asked for."""
+class Pieces:
+    """Pieces by their characters from the last to the first, and their scores."""
 
-    def __init__(self, pieces: dict[str, float], max_nodes: int = 1_000_000):
-        super().__init__()
-        self.pieces, self.max_nodes = pieces, max_nodes
+    def __init__(self, pieces: dict[str, float]):
+        self.step: dict[int, int] = {}
+        self.score: list[float | None] = [None]
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
+        for piece, score in pieces.items():
+            state = 0
+            for char in reversed(piece):
+                key = state << 21 | ord(char)
+                if key not in self.step:
+                    self.step[key] = len(self.score)
+                    self.score.append(None)
+                state = self.step[key]
+            self.score[state] = score
+
+
+class Trie(dict):
+    """Word -> terminal count, computed when first asked for. A word's first ``deep`` characters
+    get nodes; what follows them is scored in a window as long as the longest piece. So nodes and
+    remembered words stay within ``max_nodes``, but for one word's."""
+
+    def __init__(self, pieces: Pieces, max_nodes: int = 1_000_000, deep: int = 64):
+        super().__init__()
+        self.pieces, self.max_nodes, self.deep = pieces, max_nodes, deep
         self._start()
 
     def _start(self) -> None:
@@ -59,43 +79,63 @@ class Trie(dict):
         self.best, self.count = [0.0], [0]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self.best) > self.max_nodes:
+        if max(len(self.best), len(self)) > self.max_nodes:
             self._start()
-        text = MARK + word.decode()
+        text = [ord(MARK), *map(ord, word.decode())]
         children, best, count = self.children, self.best, self.count
-        path, node = [0], 0
-        for depth, char in enumerate(text, 1):
-            key = node << 21 | ord(char)
-            child = children.get(key)
-            if child is None:
-                child = children[key] = len(best)
-                score, n = self._forward(text, depth, path)
+        scores, counts, node = [0.0], [0], 0
+        for depth, char in enumerate(text[: self.deep], 1):
+            key = node << 21 | char
+            node = children.get(key)
+            if node is None:
+                node = children[key] = len(best)
+                score, n = self._forward(text, depth, scores, counts, 0)
                 best.append(score)
                 count.append(n)
-            path.append(child)
-            node = child
-        self[word] = found = count[node]
-        return found
-
-    def _forward(self, text: str, depth: int, path: list[int]) -> tuple[float, int]:
-        pieces, best, count = self.pieces, self.best, self.count
-        top, n = -math.inf, 0
-        for begin in range(max(0, depth - self.longest), depth):
-            own = pieces.get(text[begin:depth])
-            if own is not None and best[path[begin]] + own > top:
-                top, n = best[path[begin]] + own, count[path[begin]] + 1
-        if text[depth - 1] not in pieces and best[path[depth - 1]] + self.unknown > top:
-            top = best[path[depth - 1]] + self.unknown
-            n = count[path[depth - 1]] + len(text[depth - 1].encode())
+            scores.append(best[node])
+            counts.append(count[node])
+        if len(text) <= self.deep:
+            self[word] = counts[-1]
+            return counts[-1]
+        base = 0
+        for depth in range(self.deep + 1, len(text) + 1):
+            score, n = self._forward(text, depth, scores, counts, base)
+            scores.append(score)
+            counts.append(n)
+            spare = len(scores) - self.pieces.longest
+            if spare > 4096:
+                base += spare
+                del scores[:spare], counts[:spare]
+        return counts[-1]
+
+    def _forward(self, text: list[int], depth: int, scores: list[float], counts: list[int], base: int) -> tuple[float, int]:
+        """Score and count of the first ``depth`` characters; scores and counts begin at ``base``."""
+        step, own = self.pieces.step, self.pieces.score
+        top, n, state, whole = -math.inf, 0, 0, False
+        for at in range(depth - 1, -1, -1):
+            state = step.get(state << 21 | text[at])
+            if state is None:
+                break
+            score = own[state]
+            if score is not None:
+                whole = whole or at == depth - 1
+                score += scores[at - base]
+                if score >= top:
+                    top, n = score, counts[at - base] + 1
+        if not whole and scores[depth - 1 - base] + self.pieces.unknown > top:
+            top = scores[depth - 1 - base] + self.pieces.unknown
+            n = counts[depth - 1 - base] + len(chr(text[depth - 1]).encode())
         return top, n
 
+    def tokens(self, texts: list[bytes]) -> list[int]:
+        return [sum(map(self.__getitem__, x.split())) for x in texts]
+
 
 def count_tokens(
     df: DataFrame, model_path: str, *, keys: Sequence[str], text: str = "text", max_nodes: int = 1_000_000
 ) -> DataFrame:
     """``keys``, n_words and n_tokens of every row."""
-    pieces = zipf_pieces(model_path)
-    shared = df.sparkSession.sparkContext.broadcast(pieces)
+    shared = df.sparkSession.sparkContext.broadcast(Pieces(zipf_pieces(model_path)))
     rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(text).alias("_text"))
     kinds = [f"_k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)]
 
@@ -103,11 +143,11 @@ def count_tokens(
         trie = Trie(shared.value, max_nodes)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            split = [x.split() for x in W.texts_of(batch.column("_text"))]
-            counts = [sum(map(trie.__getitem__, ws)) for ws in split]
+            texts = W.texts_of(batch.column("_text"))
             own = [batch.column(f"_k{i}") for i in range(len(keys))]
             names = [*(f"_k{i}" for i in range(len(keys))), "n_words", "n_tokens"]
-            return pa.RecordBatch.from_arrays([*own, pa.array(map(len, split), pa.int64()), pa.array(counts, pa.int64())], names)
+            words = pa.array([len(x.split()) for x in texts], pa.int64())
+            return pa.RecordBatch.from_arrays([*own, words, pa.array(trie.tokens(texts), pa.int64())], names)
 
         yield from W.mapped(work, "_text")(batches)
 
