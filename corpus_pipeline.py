@@ -3,7 +3,7 @@
 Quality rules drop documents that repeat themselves or have too few words; the n-gram join leaves
 one document of each group of near copies; decontamination drops documents that contain a test
 item; the secret scan masks secrets in the texts; mixing leaves the documents that the target
-weights use, with their rate and copies. An empty table passes every stage empty; nulls, ties and
+weights use, in tokens, with their rate and copies. An empty table passes every stage empty; nulls, ties and
 repeated rows are as each operator defines.
 """
 
@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.llm import decontaminate, mixing, ngram_join, quality_rules, secrets
-from vectrail.llm.common import table, written
+from vectrail.llm.common import table
+from vectrail.llm.queries import PIECES
+from vectrail.sources.scratch import written
 from vectrail.sources.shipping import ship
 
 
@@ -35,7 +37,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), pieces=PIECES)
 
 
 STAGES = [
