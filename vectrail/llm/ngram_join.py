@@ -20,19 +20,24 @@ more, then for every l the first n - t + l of each share at least l (the l-prefi
    prefixes require, are verified by their whole sets.
 5. Components of the links are labelled with their least document.
 
-Scale: shuffled are the prefixes (a quarter of the shingles, 11 bytes each), the shared tokens
-and the texts of candidates. No pair is made inside a group that leaders have linked. Verification
-is dealt by shared token, in blocks of ``block`` documents. A hash range's task holds its tokens'
-entries packed, so a range must fit a task: ranges follow the number of shingles, and a token that
-a third of all classes keep in their prefixes sets the least size of one.
+Classes are numbered, and everything between works on these numbers, so ids may be of any type that
+can be compared. Every distinct set of shingles is a class of its own, whatever its rows' ids.
+
+Scale: texts are hashed once; shuffled are the prefixes (a quarter of the shingles, 11 bytes each),
+the shared tokens and the texts of candidates. No pair is made inside a group that leaders have
+linked: of a token's documents, those outside its largest group meet the others. Tokens of over
+``hot`` documents are dealt to several tasks. Verification is dealt by shared token, in blocks of
+``block`` documents. A hash range's task holds its tokens' entries packed, so a range must fit a
+task: ranges follow the number of shingles, and a token that a third of all classes keep in their
+prefixes sets the least size of one. Intermediate tables are deleted at the end.
 
 Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. A text of fewer than five
 words has its whole sequence as its one shingle.
 
 Defined results: null and empty texts have no shingles and link with nothing; repeated rows and
-equal texts link; ids are expected to be unique, and rows that repeat one with another text share
-its component; a null id gets a component only from its copies; an empty table gives no rows.
-Other columns are not carried.
+equal texts link; rows that repeat an id are one document, so whatever links with one of its texts
+links with all; rows without an id link as others do, and their component is its least id, null if
+none has one; an empty table gives no rows. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -46,10 +51,12 @@ from pyspark.sql import functions as F
 
 from vectrail.llm import words as W
 from vectrail.llm.components import components
-from vectrail.sources.scratch import written
+from vectrail.sources.scratch import Tables, tables, written
 
 SHINGLE = 5
 TIERS = 4
+#: Rows of shared tokens.
+ENTRIES = "token long, node long, n long, tier int, df long"
 _ENTRY = np.dtype([("token", "<u8"), ("doc", "<u2"), ("tier", "u1")])
 
 
@@ -86,20 +93,23 @@ def _marks(own: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _described(docs: DataFrame, kind: str, percent: int, tokens: str = "none") -> DataFrame:
-    """(doc, n, hi, lo) of each document, with the tokens of its longest ``prefix`` or ``all``."""
+def _described(rows: DataFrame, percent: int, whole: bool = False) -> DataFrame:
+    """``rows`` without their text, with n, hi, lo and the tokens of the longest prefix (or of the
+    ``whole`` set)."""
+    kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = _sets(batch, "text")
-        marks = [_marks(s) for s in own]
-        arrays = [batch.column("doc"), pa.array([len(s) for s in own], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())]
-        if tokens != "none":
-            cut = [len(s) if tokens == "all" else stored(len(s), percent) for s in own]
-            arrays.append(pa.array([s[:c].tobytes() for s, c in zip(own, cut, strict=True)], pa.binary()))
-        return pa.RecordBatch.from_arrays(arrays, ["doc", "n", "hi", "lo", "tokens"][: len(arrays)])
+        marks = np.array([_marks(s) for s in own], np.int64).reshape(-1, 2)
+        cut = [len(s) if whole else stored(len(s), percent) for s in own]
+        arrays = [
+            *(batch.column(f.name) for f in kept), pa.array([len(s) for s in own], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
+            pa.array([s[:c].tobytes() for s, c in zip(own, cut, strict=True)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, [*(f.name for f in kept), "n", "hi", "lo", "tokens"])
 
-    schema = f"doc {kind}, n long, hi long, lo long" + ", tokens binary" * (tokens != "none")
-    return docs.mapInArrow(W.mapped(work, "text"), schema)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "n long, hi long, lo long, tokens binary"])
+    return rows.mapInArrow(W.mapped(work, "text"), schema)
 
 
 def _packed(classes: DataFrame, percent: int, bits: int) -> DataFrame:
@@ -207,15 +217,12 @@ def _emitted(shared: DataFrame, figures: DataFrame, frequent: int) -> DataFrame:
     return shared.drop("n").join(figures, "node").where(kept).select("token", "node", "n", "df", "l", "f", "alone")
 
 
-def _of_frequent(docs: DataFrame, ids: DataFrame, kind: str, percent: int, bits: int, label: str) -> DataFrame:
+def _of_frequent(texts: DataFrame, percent: int, bits: int, own: Tables) -> DataFrame:
     """The same of documents of frequent tokens among themselves: the 1-prefix of each whole set,
     ordered by frequency among these documents."""
-    own = docs.join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    sets = _described(own, kind, percent, "all").select(F.col("doc").alias("node"), "n", "tokens")
-    shared = _packed(sets, percent, bits).groupBy("range").applyInArrow(
-        _shared, f"token long, node {kind}, n long, tier int, df long"
-    )
-    shared = written(shared.drop("tier"), label)
+    sets = _described(texts, percent, whole=True).select("node", "n", "tokens")
+    shared = _packed(sets, percent, bits).groupBy("range").applyInArrow(_shared, ENTRIES)
+    shared = own.written(shared.drop("tier"), "close-shared")
     unique = shared.groupBy("node").agg((F.first("n") - F.count(F.lit(1))).alias("unique"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("unique")
@@ -233,27 +240,34 @@ def _fits(a, b, percent: int):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, kind: str, percent: int, block: int, label: str, broadcast_ids: int) -> DataFrame:
-    """The pairs (a, b, token, df) that are similar enough by their whole sets."""
+def _texts(rows: DataFrame, classes: DataFrame, nodes: DataFrame, broadcast_ids: int) -> DataFrame:
+    """(node, text) of some classes, from the row that stands for each."""
+    ids = classes.join(nodes, "node", "left_semi").select("node", F.col("doc").alias("_d"), F.col("key").alias("_k"))
+    if nodes.count() <= broadcast_ids:
+        ids = F.broadcast(ids)
+    same = (F.col("key") == F.col("_k")) & F.col("doc").eqNullSafe(F.col("_d"))
+    return rows.join(ids, same).groupBy("node").agg(F.min("text").alias("text"))
+
+
+def _verified(texts, pairs: DataFrame, percent: int, block: int, own: Tables, label: str) -> DataFrame:
+    """The pairs (a, b, token, df) that are similar enough by their whole sets; ``texts`` gives
+    (node, text) of a table of nodes."""
     parts = F.ceil(F.col("df") / block)
     pairs = pairs.select(
         "a", "b", F.xxhash64("token", F.pmod(F.xxhash64("a"), parts), F.pmod(F.xxhash64("b"), parts)).alias("g")
     )
-    pairs = written(pairs, f"{label}-pairs")
-    needs = written(
+    pairs = own.written(pairs, f"{label}-pairs")
+    needs = own.written(
         pairs.select("g", F.col("a").alias("node")).unionByName(pairs.select("g", F.col("b").alias("node"))).distinct(), f"{label}-needs"
     )
-    ids = needs.select(F.col("node").alias("doc")).distinct()
-    some = docs.join(F.broadcast(ids), "doc", "left_semi") if ids.count() <= broadcast_ids else docs
-    texts = some.groupBy("doc").agg(F.min("text").alias("text"))
-    sent = needs.join(texts, needs["node"] == texts["doc"]).select("g", "node", "text")
+    sent = needs.join(texts(needs.select("node").distinct()), "node").select("g", "node", "text")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = dict(zip(right.column("node").to_pylist(), _sets(right.combine_chunks().to_batches()[0], "text") if right.num_rows else [], strict=True))
+        sets = dict(zip(right.column("node").to_pylist(), _sets(right.combine_chunks().to_batches()[0], "text") if right.num_rows else [], strict=True))
         found = []
         for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
-            if a in own and b in own:
-                x, y = own[a], own[b]
+            if a in sets and b in sets:
+                x, y = sets[a], sets[b]
                 if len(x) > len(y):
                     x, y = y, x
                 if len(x):
@@ -261,17 +275,32 @@ def _verified(docs: DataFrame, pairs: DataFrame, kind: str, percent: int, block:
                     both = int((y[j] == x).sum())
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         found.append((a, b))
-        k = left.schema.field("a").type
-        return pa.table({"a": pa.array([x for x, _ in found], k), "b": pa.array([y for _, y in found], k)})
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    links = pairs.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(check, "a long, b long")
+    return own.written(links, f"{label}-links")
+
+
+def _parts(size, hot: int):
+    """The number of tasks that a token of ``size`` documents is dealt to."""
+    return F.ceil(size / hot)
+
 
-    links = pairs.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(check, f"a {kind}, b {kind}")
-    return written(links, f"{label}-links")
+def _dealt(emitted: DataFrame, hot: int) -> DataFrame:
+    """With the part of its token that a document is dealt to."""
+    return emitted.withColumn("part", F.pmod(F.xxhash64("node"), _parts(F.col("df"), hot)))
 
 
-def _led(emitted: DataFrame, percent: int) -> DataFrame:
+def _in_parts(tokens: DataFrame, hot: int) -> DataFrame:
+    """A row of (token, df) for each of its parts."""
+    return tokens.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("df"), hot) - 1))).drop("df")
+
+
+def _led(emitted: DataFrame, percent: int, hot: int) -> DataFrame:
     """One pair for each document: with the leader that most of its tokens have."""
-    leaders = emitted.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("lead"))
-    met = emitted.join(leaders, "token").where((F.col("lead.node") != F.col("node")) & _fits(F.col("n"), F.col("lead.n"), percent))
+    leaders = emitted.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("lead"), F.max("df").alias("df"))
+    met = _dealt(emitted, hot).join(_in_parts(leaders, hot), ["token", "part"])
+    met = met.where((F.col("lead.node") != F.col("node")) & _fits(F.col("n"), F.col("lead.n"), percent))
     met = met.groupBy("node", F.col("lead.node").alias("lead")).agg(
         F.count(F.lit(1)).alias("c"), F.min("token").alias("token"), F.max("df").alias("df")
     )
@@ -288,87 +317,102 @@ def _grouped(links: DataFrame, jumps: int = 3) -> DataFrame:
     return up
 
 
-def _crossing(emitted: DataFrame, groups: DataFrame, percent: int, whole: bool = False) -> DataFrame:
+def _crossing(emitted: DataFrame, groups: DataFrame, percent: int, hot: int, whole: bool = False) -> DataFrame:
     """Pairs of different groups that share as many tokens as both prefixes require; unless
     ``whole``, without pairs of two documents of frequent tokens. If ``whole``, the smaller
     document of a pair needs a token of its short prefix, and neither can share tokens that no
-    other document has."""
+    other document has. Of a token's documents, those outside its largest group meet all others."""
     marked = emitted.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    several = marked.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
-    marked = marked.join(several, "token", "left_semi")
-    columns = ["node", "n", "grp", "l", "f", *(["common"] if whole else [])]
-    a, b = (marked.select("token", "df", *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab")
-    if whole:
-        a = marked.where("short").select("token", "df", *[F.col(c).alias(f"a_{c}") for c in columns])
-    met = a.join(b.drop("df"), "token").where(
-        (F.struct("a_n", "a_node") < F.struct("b_n", "b_node"))
-        & (F.col("a_grp") != F.col("b_grp"))
-        & _fits(F.col("a_n"), F.col("b_n"), percent)
+    tokens = marked.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("size"), F.max("df").alias("df")).groupBy("token")
+    tokens = tokens.agg(F.max(F.struct("size", "grp")).alias("x"), F.count(F.lit(1)).alias("groups"), F.max("df").alias("df"))
+    several = tokens.where("groups > 1").select("token", F.col("x.grp").alias("most"), "df")
+    marked = _dealt(marked, hot).join(_in_parts(several, hot), ["token", "part"])
+    columns = ["node", "n", "grp", *(["common", "short"] if whole else ["l", "f"])]
+    named = lambda df, s: df.select("token", "part", *[F.col(c).alias(f"{s}_{c}") for c in columns], *(["df"] if s == "a" else []), *(["most"] if s == "b" else []))
+    a = marked.where(F.col("grp") != F.col("most")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("df"), hot) - 1)))
+    less = F.struct("a_n", "a_node") < F.struct("b_n", "b_node")
+    met = named(a, "a").join(named(marked, "b"), ["token", "part"]).where(
+        (F.col("a_grp") != F.col("b_grp")) & (less | (F.col("b_grp") == F.col("most"))) & _fits(F.col("a_n"), F.col("b_n"), percent)
     )
     if whole:
+        met = met.where(F.when(less, F.col("a_short")).otherwise(F.col("b_short")))
         met = met.where((100 + percent) * F.least("a_common", "b_common") >= percent * (F.col("a_n") + F.col("b_n")))
+        need = F.lit(1)
     else:
         met = met.where("a_l is not null or b_l is not null")
-    need = F.coalesce(F.least("a_l", "b_l") - F.least("a_f", "b_f"), F.lit(1))
+        need = F.coalesce(F.least("a_l", "b_l") - F.least("a_f", "b_f"), F.lit(1))
     return (
-        met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need"), F.min("token").alias("token"), F.max("df").alias("df"))
+        met.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min(need).alias("need"), F.min("token").alias("token"), F.max("df").alias("df"))
         .where(F.col("c") >= F.greatest(F.col("need"), F.lit(1)))
         .select("a", "b", "token", "df")
     )
 
 
+def _same_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that rows of one id have."""
+    own = described.where("doc is not null and n > 0").select("doc", "hi", "lo")
+    mark = F.struct("hi", "lo")
+    several = own.groupBy("doc").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y").select("doc")
+    nodes = own.join(several, "doc", "left_semi").distinct().join(classes.select("hi", "lo", "node"), ["hi", "lo"])
+    first = nodes.groupBy("doc").agg(F.min("node").alias("b"))
+    return nodes.join(first, "doc").select(F.col("node").alias("a"), "b").where("a <> b")
+
+
 def join(
     docs: DataFrame, *, doc: str = "doc_id", text: str = "text", percent: int = 80, frequent: int = 64,
-    block: int = 256, broadcast_ids: int = 500_000, range_shingles: int = 4_000_000,
+    block: int = 256, broadcast_ids: int = 500_000, range_shingles: int = 4_000_000, hot: int = 1024,
 ) -> DataFrame:
     """``doc``, n_shingles and component_id for every row."""
-    kind = docs.schema[doc].dataType.simpleString()
-    docs = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sizes = written(_described(docs, kind, percent), "sets")
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(6, int(log2(total / range_shingles + 1)) + 1)
-    whole = _described(docs.where("doc is not null"), kind, percent, "prefix").where("n > 0")
-    classes = whole.groupBy("hi", "lo").agg(F.min(F.struct("doc", "n", "tokens")).alias("x")).select(
-        F.col("x.doc").alias("node"), F.col("x.n").alias("n"), F.col("x.tokens").alias("tokens")
-    )
-    shared = _packed(classes, percent, bits).groupBy("range").applyInArrow(
-        _shared, f"token long, node {kind}, n long, tier int, df long"
-    )
-    shared = written(shared, "shared")
-    figures = written(_figures(shared, percent, frequent), "figures")
-    emitted = written(_emitted(shared, figures, frequent), "emitted")
-    verify = lambda pairs, name: _verified(docs, pairs, kind, percent, block, name, broadcast_ids)
-    led = verify(_led(emitted, percent), "led")
-    links = led.unionByName(verify(_crossing(emitted, _grouped(led), percent), "crossing"))
-    ids = figures.where("choice is null").select(F.col("node").alias("doc"))
-    count = ids.count()
-    if count:
-        ids = F.broadcast(ids) if count <= broadcast_ids else ids
-        close = written(_of_frequent(docs, ids, kind, percent, bits, "frequent"), "close")
-        led = verify(_led(close, percent), "led-close")
-        links = links.unionByName(led).unionByName(verify(_crossing(close, _grouped(led), percent, whole=True), "crossing-close"))
-
-    least = sizes.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("node"))
-    roots = components(links, "roots")
-    least = least.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("component"))
-    out = sizes.join(least, ["hi", "lo"], "left")
-    return out.select(
-        F.col("doc").alias(doc),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"),
-    )
+    rows = docs.select(F.col(f"`{doc}`").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    with tables() as own:
+        described = own.written(_described(rows, percent), "described")
+        total = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        bits = max(6, int(log2(total / range_shingles + 1)) + 1)
+        classes = described.where("n > 0").groupBy("hi", "lo").agg(
+            F.min("doc").alias("least"), F.min(F.struct("key", "doc", "n", "tokens")).alias("x")
+        ).select("hi", "lo", "least", "x.*")
+        classes = own.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        shared = _packed(classes, percent, bits).groupBy("range").applyInArrow(_shared, ENTRIES)
+        shared = own.written(shared, "shared")
+        figures = own.written(_figures(shared, percent, frequent), "figures")
+        emitted = own.written(_emitted(shared, figures, frequent), "emitted")
+        texts = lambda nodes: _texts(rows, classes, nodes, broadcast_ids)
+        verify = lambda pairs, name: _verified(texts, pairs, percent, block, own, name)
+        led = verify(_led(emitted, percent, hot), "led")
+        links = led.unionByName(verify(_crossing(emitted, _grouped(led), percent, hot), "crossing"))
+        ids = figures.where("choice is null").select("node")
+        if not ids.isEmpty():
+            close = own.written(_of_frequent(texts(ids), percent, bits, own), "close")
+            led = verify(_led(close, percent, hot), "led-close")
+            links = links.unionByName(led).unionByName(verify(_crossing(close, _grouped(led), percent, hot, whole=True), "crossing-close"))
+        links = links.unionByName(_same_ids(described, classes))
+
+        roots = components(links, "roots")
+        placed = classes.select("hi", "lo", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = placed.groupBy("root").agg(F.min("least").alias("component"))
+        out = described.join(placed.join(least, "root").select("hi", "lo", "component"), ["hi", "lo"], "left")
+        return written(
+            out.select(
+                F.col("doc").alias(doc),
+                F.col("n").alias("n_shingles"),
+                F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"),
+            ),
+            "joined",
+        )
 
 
 def deduplicated(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", broadcast_ids: int = 500_000, **options) -> DataFrame:
-    """The documents without those of a component that aren't its least; all columns are kept.
-    Of rows that repeat an id, one stays. Rows without an id stay."""
-    found = written(join(docs, doc=doc, text=text, broadcast_ids=broadcast_ids, **options), "components")
-    gone = found.where(F.col(doc) != F.col("component_id")).select(doc).distinct()
+    """The documents without those of a component that aren't its least; all columns are kept,
+    whatever their names. Of rows that repeat an id, one stays. Rows without an id stay."""
+    found = join(docs, doc=doc, text=text, broadcast_ids=broadcast_ids, **options)
+    id = F.col(f"`{doc}`")
+    gone = written(found.where(id != F.col("component_id")).select(id.alias("_gone")).distinct(), "gone")
     if gone.count() <= broadcast_ids:
         gone = F.broadcast(gone)
-    out = docs.join(gone, doc, "left_anti").select(*docs.columns)
-    ids = found.where(F.col(doc).isNotNull())
-    if ids.count() > ids.select(doc).distinct().count():
-        out = out.where(F.col(doc).isNotNull()).dropDuplicates([doc]).unionByName(out.where(F.col(doc).isNull()))
+    out = docs.join(gone, id == F.col("_gone"), "left_anti")
+    ids = found.where(id.isNotNull())
+    if ids.count() > ids.select(id).distinct().count():
+        out = out.where(id.isNotNull()).dropDuplicates([doc]).unionByName(out.where(id.isNull()))
     return out
