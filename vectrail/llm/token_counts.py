@@ -45,22 +45,18 @@ def zipf_pieces(path: str) -> dict[str, float]:
 
 
 class Pieces:
-    """Pieces by their characters from the last to the first, and their scores."""
+    """Pieces by their characters from the last to the first: character -> (further, score)."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.step: dict[int, int] = {}
-        self.score: list[float | None] = [None]
+        self.last: dict[str, tuple[dict, float | None]] = {}
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
         for piece, score in pieces.items():
-            state = 0
-            for char in reversed(piece):
-                key = state << 21 | ord(char)
-                if key not in self.step:
-                    self.step[key] = len(self.score)
-                    self.score.append(None)
-                state = self.step[key]
-            self.score[state] = score
+            further = self.last
+            for char in piece[:0:-1]:
+                further = further.setdefault(char, ({}, None))[0]
+            if piece:
+                further[piece[0]] = (further.get(piece[0], ({},))[0], score)
 
 
 class Trie(dict):
@@ -74,58 +70,67 @@ class Trie(dict):
         self._start()
 
     def _start(self) -> None:
+        """Node 0 is the empty prefix, node 1 the mark."""
         self.clear()
-        self.children: dict[int, int] = {}
-        self.best, self.count = [0.0], [0]
+        self.up, self.best, self.count = [0], [0.0], [0]
+        self.nodes = {"": self._added(MARK, 0, 0)}
+
+    def _added(self, text: str, depth: int, before: int) -> int:
+        """The node of the first ``depth`` + 1 characters, whose parent is ``before``."""
+        up, best, count = self.up, self.best, self.count
+        top, n, further, whole, node = -math.inf, 0, self.pieces.last, False, before
+        for at in range(depth, -1, -1):
+            found = further.get(text[at])
+            if found is None:
+                break
+            further, score = found
+            if score is not None:
+                whole = whole or at == depth
+                score += best[node]
+                if score >= top:
+                    top, n = score, count[node] + 1
+            node = up[node]
+        if not whole and best[before] + self.pieces.unknown > top:
+            top, n = best[before] + self.pieces.unknown, count[before] + len(text[depth].encode())
+        up.append(before)
+        best.append(top)
+        count.append(n)
+        return len(best) - 1
 
     def __missing__(self, word: bytes) -> int:
         if max(len(self.best), len(self)) > self.max_nodes:
             self._start()
-        text = [ord(MARK), *map(ord, word.decode())]
-        children, best, count = self.children, self.best, self.count
-        scores, counts, node = [0.0], [0], 0
-        for depth, char in enumerate(text[: self.deep], 1):
-            key = node << 21 | char
-            node = children.get(key)
-            if node is None:
-                node = children[key] = len(best)
-                score, n = self._forward(text, depth, scores, counts, 0)
-                best.append(score)
-                count.append(n)
-            scores.append(best[node])
-            counts.append(count[node])
-        if len(text) <= self.deep:
-            self[word] = counts[-1]
-            return counts[-1]
-        base = 0
-        for depth in range(self.deep + 1, len(text) + 1):
-            score, n = self._forward(text, depth, scores, counts, base)
-            scores.append(score)
-            counts.append(n)
-            spare = len(scores) - self.pieces.longest
-            if spare > 4096:
-                base += spare
-                del scores[:spare], counts[:spare]
-        return counts[-1]
-
-    def _forward(self, text: list[int], depth: int, scores: list[float], counts: list[int], base: int) -> tuple[float, int]:
-        """Score and count of the first ``depth`` characters; scores and counts begin at ``base``."""
-        step, own = self.pieces.step, self.pieces.score
-        top, n, state, whole = -math.inf, 0, 0, False
-        for at in range(depth - 1, -1, -1):
-            state = step.get(state << 21 | text[at])
-            if state is None:
-                break
-            score = own[state]
-            if score is not None:
-                whole = whole or at == depth - 1
-                score += scores[at - base]
-                if score >= top:
-                    top, n = score, counts[at - base] + 1
-        if not whole and scores[depth - 1 - base] + self.pieces.unknown > top:
-            top = scores[depth - 1 - base] + self.pieces.unknown
-            n = counts[depth - 1 - base] + len(chr(text[depth - 1]).encode())
-        return top, n
+        nodes, own = self.nodes, word.decode()
+        head = own[: self.deep]
+        known = len(head)
+        while (node := nodes.get(head[:known])) is None:
+            known -= 1
+        text = MARK + own
+        for depth in range(known + 1, len(head) + 1):
+            node = nodes[text[1 : depth + 1]] = self._added(text, depth, node)
+        if len(own) <= self.deep:
+            self[word] = found = self.count[node]
+            return found
+        return self._beyond(text, node)
+
+    def _beyond(self, text: str, node: int) -> int:
+        """The count of a text whose first ``deep`` + 1 characters end at a node: the same in lists
+        that are cut as they grow, without nodes."""
+        whole = Trie.__new__(Trie)
+        whole.pieces = self.pieces
+        path = [node]
+        while node:
+            path.append(node := self.up[node])
+        path = path[: self.pieces.longest + 1][::-1]
+        whole.best, whole.count = [self.best[k] for k in path], [self.count[k] for k in path]
+        whole.up = [max(k - 1, 0) for k in range(len(path))]
+        for depth in range(self.deep + 1, len(text)):
+            whole._added(text, depth, len(whole.best) - 1)
+            if len(whole.best) > 4096 + self.pieces.longest:
+                spare = len(whole.best) - self.pieces.longest - 1
+                del whole.best[:spare], whole.count[:spare]
+                whole.up = [max(k - 1, 0) for k in range(len(whole.best))]
+        return whole.count[-1]
 
     def tokens(self, texts: list[bytes]) -> list[int]:
         return [sum(map(self.__getitem__, x.split())) for x in texts]
