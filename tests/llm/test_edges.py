@@ -73,6 +73,15 @@ def test_odd_rows_are_mixed(docs, labels):
     assert {(r["_doc"], r["a.b"], r["posteriors"], r["label"]) for r in rows} == {("x", 1, 2, "l")} and all(r["rate"] >= 0 for r in rows)
 
 
+def test_columns_of_any_name_are_kept(docs, items, labels):
+    made = operators(items, labels)
+    odd = docs.where("doc_id is not null").withColumn("a.b", F.lit(1)).withColumn("_c0", F.lit(2)).withColumn("_text", F.lit(3)).withColumn("spans", F.lit(4))
+    for name in ("1 clean", "5 accepted", "6 redact", "8 deduplicated"):
+        got = made[name](odd)
+        assert got.columns == odd.columns
+        assert {(r["a.b"], r["_c0"], r["_text"], r["spans"]) for r in got.collect()} == {(1, 2, 3, 4)}
+
+
 def test_defined_results(docs, items, labels):
     made = operators(items, labels)
     got = {r["doc_id"]: r for r in made["8"](docs).where("doc_id is not null").collect()}

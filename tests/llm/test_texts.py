@@ -1,5 +1,7 @@
 """Operators on texts against brute force."""
 
+import datetime
+import decimal
 import hashlib
 import math
 import random
@@ -128,6 +130,67 @@ def test_sketches_never_miss(spark):
     assert got == want and 0 < len(want) < 40
 
 
+def contained(docs, items):
+    """(doc, item, shared) by brute force; an item of fewer than five words is one run."""
+    want = set()
+    for d, t in docs:
+        for i, s in items:
+            ws = (s or "").lower().split()
+            k = min(5, len(ws))
+            a = {tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)} if ws else set()
+            ts = (t or "").lower().split()
+            n = len(a & {tuple(ts[j : j + k]) for j in range(len(ts) - k + 1)})
+            if a and 100 * n >= 80 * len(a):
+                want.add((d, i, n))
+    return want
+
+
+@pytest.mark.parametrize("block_items", [1000, 5])
+def test_items_of_any_size_are_found_by_both_ways(spark, block_items):
+    r = random.Random(15)
+    words = [f"w{k}" for k in range(30)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate([1, 2, 3, 3, 4, 5, 6, 7, 9, 12, 20, 40, 130])] + [(50, ""), (51, None), (52, "alpha beta gamma"), (52, "alpha beta gamma")]
+    docs = [(k, text(r.choice((0, 1, 3, 8, 60)))) for k in range(50)] + [(60, "x alpha beta gamma y z a b"), (60, "x alpha beta gamma y z a b"), (61, None)]
+    for k in range(4, 13):
+        own = items[k][1].split()
+        own[len(own) // 2] = "zz" if len(own) > 30 else own[len(own) // 2]
+        docs.append((100 + k, f"{text(300)} {' '.join(own)} {text(300)}"))
+    got = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), keys=["doc_id"], block_items=block_items)
+    rows = [(x["doc_id"], x["item_id"], x["n_shared"]) for x in got.collect()]
+    assert set(rows) == contained(docs, items) and {(60, 52, 1), (104, 4, 1), (112, 12, 121)} <= set(rows)
+    assert sum(x == (60, 52, 1) for x in rows) == 4
+    kept = decontaminate.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items[8:], "item_id long, text string"), block_items=block_items)
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(d for d, t in docs if not contained([(d, t)], items[8:]))
+
+
+IDS = {"int": ("int", int), "string": ("string", lambda k: f"id {k:03d}"), "date": ("date", lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(k)), "decimal": ("decimal(12,2)", decimal.Decimal)}
+
+
+@pytest.mark.parametrize("name", IDS)
+def test_ids_of_any_type(spark, name):
+    kind, make = IDS[name]
+    same = " ".join(f"s{k}" for k in range(40))
+    rows = [(make(3), same), (make(2), same + " x"), (make(7), " ".join(f"o{k}" for k in range(30))), (None, same + " y"), (make(9), "")]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").withColumn("a.b", F.lit(1)).withColumn("_doc", F.lit(2)).withColumn("node", F.lit(3))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()}
+    assert got == {make(3): make(2), make(2): make(2), make(7): make(7), None: make(2), make(9): make(9)}
+    kept = ngram_join.deduplicated(docs)
+    assert {r["doc_id"] for r in kept.collect()} == {make(2), make(7), None, make(9)} and kept.count() == 4 and kept.columns == docs.columns
+    items = spark.createDataFrame([(make(5), " ".join(f"o{k}" for k in range(9, 20)))], f"item_id {kind}, text string")
+    for block in (10, 0):
+        found = decontaminate.search(docs, items, keys=["doc_id"], block_items=block).collect()
+        assert [(r["doc_id"], r["item_id"], r["n_shared"]) for r in found] == [(make(7), make(5), 7)]
+        assert decontaminate.clean(docs, items, block_items=block).count() == 4
+
+
+def test_repeated_ids_keep_their_links(spark):
+    base, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "bo")
+    docs = spark.createDataFrame([(4, other), (4, base), (9, base + " x"), (12, other + " z"), (5, "alone in here with no one")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(docs).collect())
+    assert got == [(4, 4), (4, 4), (5, 5), (9, 4), (12, 4)]
+
+
 SHAPES = {
     "assign": re.compile(r"""(%s)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""" % "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")).replace("[_]", "_")),
     "access": re.compile("AKIA[A-Z0-9]+"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectrail.llm import words as W
+
 #: Upper and lower ASCII letters; text outside A-Z is never folded.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -20,6 +23,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def kept_rows(df: DataFrame, text: str, keep: Callable[[list[bytes]], Sequence[bool]]) -> DataFrame:
+    """The rows of ``df`` whose texts ``keep`` marks, with all columns, whatever their names."""
+    places = [f"_c{i}" for i in range(len(df.columns))]
+    own = df.toDF(*places)
+    at = places[df.columns.index(text)]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(keep(W.texts_of(batch.column(at))), pa.bool_()))
+
+    return own.mapInArrow(W.mapped(work, at), own.schema).toDF(*df.columns)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm import words as W
+from vectrail.llm.common import kept_rows
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -136,11 +137,7 @@ def judge(df: DataFrame, *, keys: Sequence[str], text: str = "text", rules: Rule
 
 def accepted(df: DataFrame, *, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(judged(W.texts_of(batch.column(text)), rules)["kept"], pa.bool_()))
-
-    return df.mapInArrow(W.mapped(work, text), df.schema)
+    return kept_rows(df, text, lambda texts: judged(texts, rules)["kept"])
 
 
 #: Base figures by windows; the longest repeat is over R if a window of R + 1 words occurs twice.
