@@ -15,7 +15,7 @@ more, then for every l the first n - t + l of each share at least l (the l-prefi
    other by whole sets, in order of frequency among them, so that what makes one copy different
    comes first.
 4. Each document is verified first against the leader that most of its tokens have: the document
-   with the smallest share of tokens of its own. That collapses groups of near copies without
+   whose tokens have most documents on average, such as what others are copies of. That collapses groups of near copies without
    their pairs. Then the pairs that stand in different groups, and share as many tokens as both
    prefixes require, are verified by their whole sets.
 5. Components of the links are labelled with their least document.
@@ -184,15 +184,15 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _figures(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """(node, n, choice, l, f, alone): the tier that each document chooses, its l, the number f of
-    frequent tokens in that prefix, and the share of the longest prefix that no other document
-    has. A document of frequent tokens has no choice."""
+    """(node, n, choice, l, f, central): the tier that each document chooses, its l, the number f of
+    frequent tokens in that prefix, and how many documents the tokens of the longest prefix have on
+    average. A document of frequent tokens has no choice."""
     hot = F.col("df") > frequent
     top = 8 + F.floor(F.floor(F.lit(percent) * F.col("n") / 100) / 20)
     ls = [F.least(1 + F.floor((top - 1) * k / (TIERS - 1)), F.ceil(F.lit(percent) * F.col("n") / 100)) for k in range(TIERS)]
     figures = shared.groupBy("node").agg(
         F.first("n").alias("n"),
-        F.count(F.lit(1)).alias("common"),
+        F.sum("df").alias("met"),
         F.sum(F.when(~hot & (F.col("tier") == 0), F.col("df") - 1).otherwise(0)).alias("cost"),
         *[F.sum(F.when(hot & (F.col("tier") <= k), 1).otherwise(0)).alias(f"f{k}") for k in range(TIERS)],
     )
@@ -207,14 +207,14 @@ def _figures(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
         "choice",
         F.element_at(F.array(*ls), F.col("choice") + 1).alias("l"),
         F.element_at(F.array(*[F.col(f"f{k}") for k in range(TIERS)]), F.col("choice") + 1).alias("f"),
-        F.round(1 - F.col("common") / size, 3).alias("alone"),
+        F.round(F.col("met") / size, 3).alias("central"),
     )
 
 
 def _emitted(shared: DataFrame, figures: DataFrame, frequent: int) -> DataFrame:
-    """(token, node, n, df, l, f, alone): what each document emits."""
+    """(token, node, n, df, l, f, central): what each document emits."""
     kept = (F.col("df") <= frequent) & (F.col("tier") <= F.coalesce("choice", F.lit(TIERS)))
-    return shared.drop("n").join(figures, "node").where(kept).select("token", "node", "n", "df", "l", "f", "alone")
+    return shared.drop("n").join(figures, "node").where(kept).select("token", "node", "n", "df", "l", "f", "central")
 
 
 def _of_frequent(texts: DataFrame, percent: int, bits: int, own: Tables) -> DataFrame:
@@ -223,16 +223,14 @@ def _of_frequent(texts: DataFrame, percent: int, bits: int, own: Tables) -> Data
     sets = _described(texts, percent, whole=True).select("node", "n", "tokens")
     shared = _packed(sets, percent, bits).groupBy("range").applyInArrow(_shared, ENTRIES)
     shared = own.written(shared.drop("tier"), "close-shared")
-    unique = shared.groupBy("node").agg((F.first("n") - F.count(F.lit(1))).alias("unique"))
+    unique = shared.groupBy("node").agg((F.first("n") - F.count(F.lit(1))).alias("unique"), F.round(F.sum("df") / F.first("n"), 3).alias("central"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("unique")
     ranked = shared.join(unique, "node").where(length > 0).withColumn("place", place).where(F.col("place") <= length)
     none = F.lit(None).cast("long")
-    # A partner no smaller than the document must share 2p / (100 + p) of it, which cuts its prefix.
-    short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1 - F.col("unique")
     return ranked.select(
-        "token", "node", "n", "df", none.alias("l"), none.alias("f"), F.round(F.col("unique") / F.col("n"), 3).alias("alone"),
-        (F.col("place") <= short).alias("short"), (F.col("n") - F.col("unique")).alias("common"),
+        "token", "node", "n", "df", none.alias("l"), none.alias("f"), "central",
+        (F.col("n") - F.col("unique") - F.col("place") + 1).alias("left"), (F.col("n") - F.col("unique")).alias("common"),
     )
 
 
@@ -298,7 +296,7 @@ def _in_parts(tokens: DataFrame, hot: int) -> DataFrame:
 
 def _led(emitted: DataFrame, percent: int, hot: int) -> DataFrame:
     """One pair for each document: with the leader that most of its tokens have."""
-    leaders = emitted.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("lead"), F.max("df").alias("df"))
+    leaders = emitted.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("lead"), F.max("df").alias("df"))
     met = _dealt(emitted, hot).join(_in_parts(leaders, hot), ["token", "part"])
     met = met.where((F.col("lead.node") != F.col("node")) & _fits(F.col("n"), F.col("lead.n"), percent))
     met = met.groupBy("node", F.col("lead.node").alias("lead")).agg(
@@ -319,15 +317,15 @@ def _grouped(links: DataFrame, jumps: int = 3) -> DataFrame:
 
 def _crossing(emitted: DataFrame, groups: DataFrame, percent: int, hot: int, whole: bool = False) -> DataFrame:
     """Pairs of different groups that share as many tokens as both prefixes require; unless
-    ``whole``, without pairs of two documents of frequent tokens. If ``whole``, the smaller
-    document of a pair needs a token of its short prefix, and neither can share tokens that no
-    other document has. Of a token's documents, those outside its largest group meet all others."""
+    ``whole``, without pairs of two documents of frequent tokens. If ``whole``, a pair's first
+    shared token has to leave as many tokens behind it, and itself, as the pair must share, and
+    neither can share tokens that no other document has. Of a token's documents, those outside its largest group meet all others."""
     marked = emitted.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     tokens = marked.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("size"), F.max("df").alias("df")).groupBy("token")
     tokens = tokens.agg(F.max(F.struct("size", "grp")).alias("x"), F.count(F.lit(1)).alias("groups"), F.max("df").alias("df"))
     several = tokens.where("groups > 1").select("token", F.col("x.grp").alias("most"), "df")
     marked = _dealt(marked, hot).join(_in_parts(several, hot), ["token", "part"])
-    columns = ["node", "n", "grp", *(["common", "short"] if whole else ["l", "f"])]
+    columns = ["node", "n", "grp", *(["common", "left"] if whole else ["l", "f"])]
     named = lambda df, s: df.select("token", "part", *[F.col(c).alias(f"{s}_{c}") for c in columns], *(["df"] if s == "a" else []), *(["most"] if s == "b" else []))
     a = marked.where(F.col("grp") != F.col("most")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("df"), hot) - 1)))
     less = F.struct("a_n", "a_node") < F.struct("b_n", "b_node")
@@ -335,8 +333,8 @@ def _crossing(emitted: DataFrame, groups: DataFrame, percent: int, hot: int, who
         (F.col("a_grp") != F.col("b_grp")) & (less | (F.col("b_grp") == F.col("most"))) & _fits(F.col("a_n"), F.col("b_n"), percent)
     )
     if whole:
-        met = met.where(F.when(less, F.col("a_short")).otherwise(F.col("b_short")))
-        met = met.where((100 + percent) * F.least("a_common", "b_common") >= percent * (F.col("a_n") + F.col("b_n")))
+        for most in (F.least("a_common", "b_common"), F.least("a_left", "b_left")):
+            met = met.where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
         need = F.lit(1)
     else:
         met = met.where("a_l is not null or b_l is not null")
