@@ -54,7 +54,9 @@ class Index:
     def model(self) -> classify.Model:
         s = self.spec
         kernel = Kernel(k=s.k, gamma=s.gamma, tau=s.tau, margin=s.margin)
-        return classify.Model(self.corpus, s.id, s.label, s.embedding, s.sep, s.n, kernel, s.anchor_to_global, s.renormalize)
+        return classify.Model(
+            self.corpus, s.id, s.label, s.embedding, s.sep, s.n, kernel, s.anchor_to_global, s.renormalize, centroids=self.centroids, nprobe=s.nprobe
+        )
 
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, qid: str = "qid") -> DataFrame:
         """The nearest rows: in the probed cells if the index has cells, else exact."""
