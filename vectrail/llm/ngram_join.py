@@ -172,7 +172,7 @@ def _shared(table: pa.Table) -> pa.Table:
     df = np.repeat(np.diff(np.append(first, len(token))), np.diff(np.append(first, len(token))))
     keep = df > 1
     order = order[keep]
-    return pa.table(
+    out = pa.table(
         {
             "token": pa.array(token[keep].view(np.int64)),
             "node": pa.array(node[order].astype(np.int64)),
@@ -181,6 +181,9 @@ def _shared(table: pa.Table) -> pa.Table:
             "df": pa.array(df[keep].astype(np.int64)),
         }
     )
+    del parts, token, node, n, tier, order, first, df, keep
+    W.release()
+    return out
 
 
 def _figures(shared: DataFrame, percent: int, frequent: int) -> DataFrame:
@@ -273,7 +276,11 @@ def _verified(texts, pairs: DataFrame, percent: int, block: int, own: Tables, la
                     both = int((y[j] == x).sum())
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         found.append((a, b))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        out = pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        if right.nbytes > W.BLOCK:
+            del sets
+            W.release()
+        return out
 
     links = pairs.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(check, "a long, b long")
     return own.written(links, f"{label}-links")
