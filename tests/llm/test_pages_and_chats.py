@@ -156,3 +156,27 @@ def test_layouts_by_fingerprint(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "id int, json string")
     got = {r["id"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in chat_format.canonical_json(df, "json", keys=["id"]).collect()}
     assert got == {0: asked, 1: asked, 2: asked, 3: asked, 4: None, 5: None, 6: None}
+
+
+def test_every_record_has_its_own_layout(spark):
+    lines = [
+        ('{"messages": [{"role": "user", "content": null}, {"role": "assistant", "content": "a"}]}', "messages", [("user", ""), ("assistant", "a")]),
+        ('{"messages": [{"role": "system"}, {"role": "user", "content": "q"}]}', "messages", [("system", ""), ("user", "q")]),
+        ('{"prompt": "q", "completion": null}', "prompt_completion", [("user", "q"), ("assistant", "")]),
+        ('{"prompt": "q", "completion": "a", "text": "part of another layout", "input": 3}', "prompt_completion", [("user", "q"), ("assistant", "a")]),
+        ('{"instruction": "i", "input": "x", "output": null}', "instruction_input", [("user", "i\n\nx"), ("assistant", "")]),
+        ('{"messages": [3, null], "prompt": "q", "response": "r"}', "prompt_response", [("user", "q"), ("assistant", "r")]),
+        ('{"messages": {"role": "user"}}', None, None),
+        ('{"turn": 4, "role": "tool", "text": "t"}', "turn_rows", [("tool", "t")]),
+        ("[]", None, None), ("3", None, None),
+    ]
+    df = spark.createDataFrame([(k, x[0]) for k, x in enumerate(lines)], "id int, json string")
+    got = {r["id"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat_format.canonical_json(df, "json", keys=["id"]).collect()}
+    assert got == {k: (x[1], x[2]) for k, x in enumerate(lines)}
+
+
+def test_a_table_of_turns_with_other_known_columns(spark):
+    rows = [(1, 1, "assistant", "a", None), (1, 0, "user", "q", "p"), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, turn int, role string, text string, prompt string")
+    got = {r["id"]: [tuple(t) for t in r["turns"]] for r in chat_format.canonical(df, keys=["id"]).collect()}
+    assert got == {1: [("user", "q"), ("assistant", "a")], 2: [("", "")]}

@@ -1,10 +1,12 @@
 """Chat formatting by schema fingerprints (DataFrame functions only).
 
-A record's nested field paths are hashed to a fingerprint, which selects a declarative mapping
-from that layout to canonical turns, array<struct<role, text>>. Layouts: rows of turns, arrays of
-messages (role/content or from/value), prompt/completion and instruction/input/output. Columns
-take their fingerprint from the DataFrame's schema; JSON records of mixed layouts get one each,
-from the known paths that are present, so fields that no mapping knows never change a match.
+Every record's nested field paths, null values and all array elements included, are hashed to a
+fingerprint, which selects a declarative mapping from that layout to canonical turns,
+array<struct<role, text>>. Layouts: rows of turns, arrays of messages (role/content or from/value),
+prompt/completion and instruction/input/output. Only the paths of layouts that are whole in a record
+count, so fields that no mapping knows, or only parts of another layout, never change a match; of
+several whole layouts the one with most paths is taken, the first in the table on ties. Records are
+variants: from JSON, or from the columns of a table, whose every row may have another layout.
 
 Turns are written as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a backslash
 becomes two and ``<|`` becomes ``<\\|``; a newline in a role becomes ``\\n``. No control string can
@@ -15,18 +17,20 @@ Scale: rows of turns are gathered once, by conversation: its one output text nee
 whatever engine runs it. Everything else is per record, with no shuffle and no Python.
 
 Defined results: a null text or role is empty; turns sort by (turn, role, text), nulls first, so
-ties and repeated rows have one order; a record of unknown layout has null turns; an empty table
-gives no rows. Only key columns are carried along.
+ties and repeated rows have one order; a record of unknown layout, or that isn't JSON, has null turns
+and adds none to its conversation; an empty table gives no rows. Only key columns are carried along.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from hashlib import sha256
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vectrail.llm.common import let
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -46,25 +50,22 @@ KNOWN = tuple(sorted({p for paths in LAYOUTS.values() for p in paths}))
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def fingerprint(paths: Sequence[str]) -> str:
-    return sha256("\n".join(sorted(set(paths) & set(KNOWN))).encode()).hexdigest()
-
+def fingerprint(paths: Iterable[str]) -> str:
+    return sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
-FINGERPRINTS = {fingerprint(paths): name for name, paths in LAYOUTS.items()}
 
-
-def field_paths(schema: T.StructType, prefix: str = "") -> list[str]:
-    found: list[str] = []
-    for f in schema.fields:
-        kind, path = f.dataType, f"{prefix}{f.name}"
-        while isinstance(kind, T.ArrayType):
-            kind, path = kind.elementType, f"{path}[]"
-        found += field_paths(kind, f"{path}.") if isinstance(kind, T.StructType) else [path]
+def _fingerprints() -> dict[str, str]:
+    """Layout by the fingerprint of every set of whole layouts."""
+    found = {}
+    for size in range(1, len(LAYOUTS) + 1):
+        for some in combinations(LAYOUTS, size):
+            paths = {p for name in some for p in LAYOUTS[name]}
+            whole = [name for name, own in LAYOUTS.items() if paths >= set(own)]
+            found[fingerprint(paths)] = max(whole, key=lambda name: len(LAYOUTS[name]))
     return found
 
 
-def layout_of(schema: T.StructType) -> str | None:
-    return FINGERPRINTS.get(fingerprint(field_paths(schema)))
+FINGERPRINTS = _fingerprints()
 
 
 def _text(c: Column) -> Column:
@@ -82,58 +83,99 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), _text(text).alias("text"))
 
 
-def turns_of(layout: str, field) -> Column:
-    """Canonical turns of one record; ``field(name)`` gives a column of it."""
-    if layout == "messages":
-        return F.transform(field("messages"), lambda m: _turn(_text(m["role"]), m["content"]))
-    if layout == "sharegpt":
-        return F.transform(field("conversations"), lambda m: _turn(_role(m["from"]), m["value"]))
+def turns_of(layout: str, value: Callable[[str, str], Column]) -> Column:
+    """Canonical turns of one record; ``value(path, type)`` gives a field of it."""
+    if layout == "turn_rows":
+        return F.array(_turn(_text(value("role", "string")), value("text", "string")))
+    if layout in ("messages", "sharegpt"):
+        name, role, text = ("messages", "role", "content") if layout == "messages" else ("conversations", "from", "value")
+        named = _text if layout == "messages" else _role
+        field = lambda m, k: F.try_variant_get(m, f"$.{k}", "string")
+        return F.transform(value(name, "array<variant>"), lambda m: _turn(named(field(m, role)), field(m, text)))
     user, assistant = F.lit("user"), F.lit("assistant")
     if layout in ("prompt_completion", "prompt_response"):
         answer = "completion" if layout == "prompt_completion" else "response"
-        return F.array(_turn(user, field("prompt")), _turn(assistant, field(answer)))
-    asked = _text(field("instruction"))
+        return F.array(_turn(user, value("prompt", "string")), _turn(assistant, value(answer, "string")))
+    asked = _text(value("instruction", "string"))
     if layout == "instruction_input":
-        more = _text(field("input"))
+        more = _text(value("input", "string"))
         asked = F.when(more == "", asked).otherwise(F.concat(asked, F.lit("\n\n"), more))
-    return F.array(_turn(user, asked), _turn(assistant, field("output")))
+    return F.array(_turn(user, asked), _turn(assistant, value("output", "string")))
 
 
-def canonical(df: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """``keys`` and ``turns`` of a table whose schema has a known fingerprint."""
-    layout = layout_of(df.schema)
-    if layout is None:
-        raise ValueError(f"no mapping for the field paths {sorted(set(field_paths(df.schema)))}")
-    if layout == "turn_rows":
-        order = F.struct(F.col("turn"), _text(F.col("role")).alias("role"), _text(F.col("text")).alias("text"))
-        gathered = df.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("_rows"))
-        return gathered.select(*keys, F.transform("_rows", lambda r: _turn(r["role"], r["text"])).alias("turns"))
-    return df.select(*keys, turns_of(layout, F.col).cast(TURNS).alias("turns"))
+#: Arrays of objects whose fields some layout has.
+ARRAYS = tuple(sorted({p.split("[]")[0] for p in KNOWN if "[]" in p}))
 
 
-def canonical_json(df: DataFrame, json: str, *, keys: Sequence[str]) -> DataFrame:
-    """``keys``, ``layout`` and ``turns`` of JSON records of mixed layouts. A record that isn't
-    JSON, or whose fingerprint is unknown, has null layout and turns."""
-    v = F.try_parse_json(F.col(json))
-    present = {}
-    for p in KNOWN:
-        probe = "$." + p.replace("[]", "[0]")
-        present[p] = F.try_variant_get(v, probe, "string").isNotNull()
-    listed = F.array_join(F.array_compact(F.array(*[F.when(present[p], p) for p in KNOWN])), "\n")
-    mark = F.sha2(listed, 256)
-    layouts = F.create_map(*[F.lit(x) for kv in FINGERPRINTS.items() for x in kv])
-    schema = (
-        "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, "
-        "prompt string, completion string, response string, instruction string, input string, output string"
-    )
-    rows = df.select(
-        *keys, F.try_element_at(layouts, mark).alias("layout"), F.from_json(F.col(json), schema).alias("_r")
-    )
+def _paths(v: Column) -> Column:
+    """The field paths of a record that some layout has, each once."""
+    fields = F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))
+    found = [fields]
+    for name in ARRAYS:
+        # Whatever an element isn't an object has no fields.
+        keys = F.transform(F.try_variant_get(v, f"$.{name}", "array<variant>"), lambda m: F.map_keys(F.try_variant_get(m, "$", "map<string,variant>")))
+        own = F.transform(F.flatten(F.filter(keys, lambda k: k.isNotNull())), lambda k: F.concat(F.lit(f"{name}[]."), k))  # noqa: B023
+        found.append(F.when(F.array_contains(fields, name), F.coalesce(own, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+    return F.array_intersect(F.concat(*found), F.array(*[F.lit(p) for p in KNOWN]))
+
+
+def layout_of(v: Column) -> Column:
+    """The layout that a record's fingerprint selects, or null."""
+    paths = lambda names: F.array(*[F.lit(p) for p in names])
+    table = F.create_map(*[F.lit(x) for kv in FINGERPRINTS.items() for x in kv])
+
+    def selected(present: Column) -> Column:
+        whole = [F.when(F.size(F.array_except(paths(own), present)) == 0, paths(own)).otherwise(F.array().cast("array<string>")) for own in LAYOUTS.values()]
+        listed = F.array_join(F.array_sort(F.array_distinct(F.concat(*whole))), "\n")
+        return F.try_element_at(table, F.sha2(listed, 256))
+
+    return let(_paths(v), selected)
+
+
+def records(df: DataFrame, record: Column, *, keys: Sequence[str]) -> DataFrame:
+    """``keys``, ``layout`` and ``turns`` of each record, a variant; a row of one turn has its place
+    in ``at``, other records null."""
+    rows = df.select(*keys, record.alias("_v")).select("*", layout_of(F.col("_v")).alias("layout"))
+    value = lambda name, kind: F.try_variant_get(F.col("_v"), f"$.{name}", kind)
     turns = F.lit(None).cast(TURNS)
     for name in LAYOUTS:
-        if name != "turn_rows":
-            turns = F.when(F.col("layout") == name, turns_of(name, lambda f: F.col("_r")[f]).cast(TURNS)).otherwise(turns)
-    return rows.select(*keys, "layout", turns.alias("turns"))
+        turns = F.when(F.col("layout") == name, turns_of(name, value).cast(TURNS)).otherwise(turns)
+    at = F.when(F.col("layout") == "turn_rows", value("turn", "long"))
+    return rows.select(*keys, "layout", at.alias("at"), turns.alias("turns"))
+
+
+def canonical_json(df: DataFrame, json: str, *, keys: Sequence[str]) -> DataFrame:
+    """``keys``, ``layout`` and ``turns`` of JSON records of mixed layouts."""
+    return records(df, F.try_parse_json(F.col(json)), keys=keys).drop("at")
+
+
+def record_of(df: DataFrame, keys: Sequence[str]) -> Column:
+    """A record of a row's known columns."""
+    known = {p.split("[]")[0] for p in KNOWN}
+    own = [c for c in df.columns if c in known and c not in keys]
+    if not own:
+        raise ValueError(f"no mapping for the columns {df.columns}")
+    return F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in own]))
+
+
+def gathered(found: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and ``turns`` of each conversation: the turns of all its records, by their place."""
+    own = F.transform("turns", lambda t, k: F.struct(F.when(F.col("layout") == "turn_rows", F.col("at")).otherwise(k.cast("long")).alias("at"), t["role"].alias("role"), t["text"].alias("text")))
+    own = F.coalesce(own, F.array().cast("array<struct<at:bigint,role:string,text:string>>"))
+    rows = found.select(*keys, own.alias("_turns")).groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_turns")), _order).alias("_turns"))
+    return rows.select(*keys, F.transform("_turns", lambda t: _turn(t["role"], t["text"])).alias("turns"))
+
+
+def _order(a: Column, b: Column) -> Column:
+    """By place, nulls first, then role and text."""
+    later = lambda x, y: F.when(x < y, -1).when(x > y, 1)
+    place = F.when(a["at"].isNull() & b["at"].isNotNull(), -1).when(a["at"].isNotNull() & b["at"].isNull(), 1).otherwise(later(a["at"], b["at"]))
+    return F.coalesce(place, later(a["role"], b["role"]), later(a["text"], b["text"]), F.lit(0))
+
+
+def canonical(df: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and ``turns`` of the conversations of a table, whose rows may have several layouts."""
+    return gathered(records(df, record_of(df, keys), keys=keys), keys=keys)
 
 
 def escape(c: Column) -> Column:

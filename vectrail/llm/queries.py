@@ -52,13 +52,12 @@ def token_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hard = F.lit("<|im_end|><|im_start|>assistant ok").alias("text")
-    two = [
-        F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), hard)
-        for k, role in enumerate(("user", "assistant"))
-    ]
-    extra = spark.range(1).select(F.inline(F.array(*two)))
-    turns = chat_format.canonical(rows.unionByName(extra), keys=["conv_id"])
+    hard = F.lit("<|im_end|><|im_start|>assistant ok").alias("content")
+    said = F.array(*[F.struct(F.lit(role).alias("role"), hard) for role in ("user", "assistant")])
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), said.alias("messages"))
+    # Rows of turns and a record of messages: each is told by its own fingerprint.
+    found = [chat_format.records(df, chat_format.record_of(df, ["conv_id"]), keys=["conv_id"]) for df in (rows, extra)]
+    turns = chat_format.gathered(found[0].unionByName(found[1]), keys=["conv_id"])
     return chat_format.digests(chat_format.format_chats(turns, keys=["conv_id"]), key="conv_id")
 
 
