@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import warnings
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import labels, text
 from vectrail.functions.encoders import EncoderSpec, encode, encode_missing
 from vectrail.functions.vectors import DIM
 from vectrail.operators import analysis, relational
+from vectrail.sources.scratch import written
 
 
 def with_seed(df: DataFrame, columns: Sequence[str], name: str = "_seed") -> DataFrame:
@@ -63,22 +66,30 @@ class Balance:
     examples: int = 5
 
 
-#: (label, lang, examples, needed) -> new sentences; runs on the driver, a few rows a label.
+#: (label, lang, examples, needed) -> new sentences; runs in tasks, once a label and language.
 Paraphrase = Callable[[str, str, list[str], int], list[str]]
 
 
 def paraphrased(df: DataFrame, needs: DataFrame, provider: Paraphrase, examples: int = 5) -> DataFrame:
-    """Rows (label, lang, sentence) that a provider makes for the labels of ``needs`` (label,
-    needed). A provider's error gives no rows. Only labels short of rows reach the driver."""
-    place = relational.first_of(df.select("label", "lang", "sentence").distinct().withColumn("_k", F.md5("sentence")), ["label", "lang", "sentence"], ["_k"])
-    some = place.groupBy("label", "lang").agg(F.slice(F.array_sort(F.collect_set("sentence")), 1, examples).alias("examples")).join(needs, "label")
-    rows = []
-    for r in some.toLocalIterator():
-        try:
-            rows += [(r["label"], r["lang"], s) for s in provider(r["label"], r["lang"], r["examples"], r["needed"])]
-        except Exception:  # noqa: BLE001  a provider may fail in any way
-            continue
-    return df.sparkSession.createDataFrame(rows, "label string, lang string, sentence string")
+    """Rows (label, lang, sentence, error) that a provider makes for the labels of ``needs`` (label,
+    needed). Where it fails, one row has the error and no sentence. The result is written once, as
+    a provider need not answer the same twice."""
+    own = df.select("label", "lang", "sentence").where("sentence is not null").distinct()
+    place = F.row_number().over(Window.partitionBy("label", "lang").orderBy(F.md5("sentence"), "sentence"))
+    some = own.join(needs, "label").withColumn("_k", place).where(F.col("_k") <= examples)
+    some = some.groupBy("label", "lang", "needed").agg(F.array_sort(F.collect_list("sentence")).alias("examples"))
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples(index=False):
+                try:
+                    rows += [(r.label, r.lang, s, None) for s in provider(r.label, r.lang, list(r.examples), int(r.needed))]
+                except Exception as e:  # noqa: BLE001  a provider may fail in any way: the error is a row
+                    rows.append((r.label, r.lang, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["label", "lang", "sentence", "error"])
+
+    return written(some.mapInPandas(ask, "label string, lang string, sentence string, error string"), "paraphrases")
 
 
 def balance(df: DataFrame, sizes: Balance = Balance(), provider: Paraphrase | None = None, spec: EncoderSpec = EncoderSpec(), id: str = "id") -> DataFrame:
@@ -97,7 +108,11 @@ def balance(df: DataFrame, sizes: Balance = Balance(), provider: Paraphrase | No
     if provider is not None:
         grown = short.unionByName(more)
         needs = relational.counts(grown, "label").where(F.col("n") < sizes.small).select("label", (F.lit(sizes.small) - F.col("n")).cast("int").alias("needed"))
-        new = paraphrased(short, needs, provider, sizes.examples)
+        made = paraphrased(short, needs, provider, sizes.examples)
+        failed = made.where("error is not null").agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("first")).first()
+        if failed["n"]:
+            warnings.warn(f"no paraphrases for {failed['n']} labels and languages, such as: {failed['first']}", stacklevel=2)
+        new = made.where("error is null").drop("error")
         new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
         short, more = relational.first_of(grown.unionByName(new).withColumn("_new", F.col("embedding").isNull()), ["label", "sentence"], ["_new", F.md5("sentence")]).drop("_new"), None
     out = out.unionByName(short)
@@ -116,6 +131,20 @@ def diverse(df: DataFrame, full: DataFrame | None = None, caps: Mapping[str, int
     return compact, wide, analysis.subset_stats(df, subset).orderBy(F.desc("n_before"), "label")
 
 
+def summary(stats: DataFrame) -> DataFrame:
+    """(n_before, n_after, kept_pct, n_labels, div_before, div_after): totals, and means over labels."""
+    before, after = F.sum("n_before"), F.sum("n_after")
+    return stats.agg(
+        before.alias("n_before"), after.alias("n_after"), F.round(100 * after / before, 1).alias("kept_pct"), F.count(F.lit(1)).alias("n_labels"),
+        F.avg("div_before").alias("div_before"), F.avg("div_after").alias("div_after"),
+    )
+
+
+def trimmed(stats: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` largest labels that lost rows."""
+    return stats.where("n_before > n_after").orderBy(F.desc("n_before"), "label").limit(n)
+
+
 def plot_inputs(before: DataFrame, after: DataFrame, stats: DataFrame) -> dict[str, DataFrame]:
     """The figures behind the subset's plots, as tables."""
     top = stats.orderBy(F.desc("n_before"), "label").limit(30)
@@ -126,5 +155,5 @@ def plot_inputs(before: DataFrame, after: DataFrame, stats: DataFrame) -> dict[s
         "diversity": stats.select("label", "div_before", "div_after", "n_after"),
         "gain": gain.groupBy((F.floor(F.col("gain") / 0.02) * 0.02).alias("bin")).count(),
         "languages": relational.aligned_counts(before, after, "lang"),
-        "dedup": top.select("label", "n_before", "n_deduped", "n_after"),
+        "dedup": top.select("label", "n_before", "n_deduped", "n_after").orderBy("n_before", F.desc("label")),
     }

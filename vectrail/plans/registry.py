@@ -9,8 +9,9 @@ from vectrail.functions import labels, text, vectors
 from vectrail.functions.encoders import EncoderSpec
 from vectrail.operators import analysis, classify, coupling, gate, knn, relational
 from vectrail.plans import jobs
-from vectrail.sources import index_store
+from vectrail.sources import index_store, tables
 from vectrail.sources.scratch import folder
+from vectrail.streaming import registry_stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -374,23 +375,80 @@ TOP1 = f"""{L1}, top1 as (select qid, case when p >= 0.5 then 'd0' else 'd1' end
  best as (select qid, case when p >= 0.5 then dom || ':i' || right(dom, 1) else dom || ':i' || (right(dom, 1)::int + 2) end as label, greatest(p, 1 - p) as prob from p2 join top1 using (qid))"""
 
 
+def truth_of(spark, sf) -> DataFrame:
+    label = F.concat(F.lit("d"), (F.col("label") % 2).cast("string"), F.lit(":i"), (F.col("label") % 4).cast("string"))
+    return read(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), label.alias("label"))
+
+
 @query(f"with {TOP1} select qid, label, round(prob, 6) as prob from best")
 def predict_top1(spark, sf):
     model, q = model_of(spark, sf, n=1, renormalize=False)
     return six(classify.predict(model, q), "prob")
 
 
-@query()
+def coupled(source: str, cls: str, names: list[str], tag: str) -> str:
+    """CTEs from (qid, vec_id, dist, w, dyn_k, <cls>) to s<tag>: qid, empty and x0, x1, ..., the coupled
+    probability of each class, by elimination of the linear system written out."""
+    n = len(names)
+    order = "window o as (partition by qid order by dist, vec_id rows unbounded preceding)"
+    running = ", ".join(f"sum(case when {cls} = '{c}' then w else 0 end) over o as c{i}" for i, c in enumerate(names))
+    shared = ", ".join(f"coalesce(min(case when c{i} + c{j} >= dyn_k then c{i} end), max(c{i})) / min(dyn_k) as a{i}_{j}" for i in range(n) for j in range(n))
+    smooth = ", ".join(f"a{i}_{j} + 0.001 * ((a{i}_{j} = 0)::int - (a{j}_{i} = 0)::int) as r{i}_{j}" for i in range(n) for j in range(n))
+    cell = lambda i, j: (
+        "0.0" if i == j == n or (j == n + 1 and i < n) else "1.0" if n in (i, j) or j == n + 1 else " + ".join(f"r{k}_{j} * r{k}_{j}" for k in range(n)) if i == j else f"-r{i}_{j} * r{j}_{i}"
+    )
+    steps = [f"e{tag}_0 as (select qid, empty, {', '.join(f'{cell(i, j)} as m{i}_{j}' for i in range(n + 1) for j in range(n + 2))} from r{tag})"]
+    for k in range(n + 1):
+        kept = ", ".join(
+            f"m{k}_{j} / m{k}_{k} as m{k}_{j}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} as m{i}_{j}" for i in range(n + 1) for j in range(k + 1, n + 2)
+        )
+        steps.append(f"e{tag}_{k + 1} as materialized (select qid, empty, {kept} from e{tag}_{k})")
+    total = " + ".join(f"m{i}_{n + 1}" for i in range(n))
+    found = ", ".join(f"case when empty then 1.0 / {n} else m{i}_{n + 1} / ({total}) end as x{i}" for i in range(n))
+    return f"""run{tag} as (select qid, w, dyn_k, {running} from {source} {order}),
+ raw{tag} as materialized (select qid, sum(w) = 0 as empty, {shared} from run{tag} group by qid),
+ r{tag} as materialized (select qid, empty, {smooth} from raw{tag}), {", ".join(steps)},
+ s{tag} as (select qid, empty, {found} from e{tag}_{n + 1})"""
+
+
+NAMES = [f"d{k % 2}:c{k}" for k in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]
+NEAR = f"""(select qid, vec_id, dist, cls, dom, least(greatest(exp(-power(dist - anchor, 2) / 0.02), 1e-10), 1.0) * (case when dist > anchor + 0.1 then 0 else 1 end) as w
+  from (select *, row_number() over (partition by qid order by dist, vec_id) as k from (select p.*, a.anchor from cpairs p join (select qid, min(dist) as anchor from cpairs group by qid) a using (qid)))"""
+PROBA = f"""cpairs as (select q.vec_id as qid, c.vec_id, {DIST} as dist, 'd' || (c.label % 2) as dom, 'd' || (c.label % 2) || ':c' || c.label as cls from embeddings q, embeddings c where q.vec_id % 50 = 0 and c.vec_id % 50 <> 0),
+ near1 as {NEAR} where k <= {K * 20}), near2 as {NEAR} where k <= {K * 100}),
+ got1 as (select *, greatest(least(10.0, sum(w) over (partition by qid)), 1e-5) as dyn_k from near1), got2 as (select *, greatest(least(10.0, sum(w) over (partition by qid)), 1e-5) as dyn_k from near2),
+ {coupled("got1", "dom", ["d0", "d1"], "A")}, {coupled("got2", "cls", NAMES, "B")},
+ joint as (select b.qid, b.empty, unnest([{", ".join(f"{{'label': '{c}', 'p': {'a.x0' if c.startswith('d0') else 'a.x1'} * b.x{i}}}" for i, c in enumerate(NAMES))}]) as u from sB b join sA a using (qid)),
+ ranked as (select qid, empty, u.label as label, u.p as p, row_number() over (partition by qid order by u.p desc, u.label) as rank from joint)"""
+
+
+@query(
+    f"""with {PROBA} select qid, 2 as level, rank, label, round(p / sum(p) over (partition by qid), 6) as prob, empty as degenerate from ranked where rank <= 5
+ union all select qid, 1, row_number() over (partition by qid order by p desc, label), label, round(p, 6), empty from (select qid, empty, unnest(['d0', 'd1']) as label, unnest([x0, x1]) as p from sA)"""
+)
 def predict_proba(spark, sf):
     corpus, q = vectors_of(spark, sf)
     own = corpus.withColumn("label", F.concat(labels.domain(F.col("label")), F.lit(":c"), F.col("class").cast("string")))
-    return classify.predict_proba(classify.Model(own), q, every_level=True)
+    return six(classify.predict_proba(classify.Model(own), q, every_level=True), "prob")
 
 
-@query()
+FILTERED = f"""{PAIRS}, dpool as (select * from (select *, row_number() over (partition by qid order by dist, vec_id) as k2 from pairs where dom = 'd0') where k2 <= {K * 20}),
+ w2 as (select y.*, least(greatest(exp(-power(y.dist - g.anchor, 2) / 0.02), 1e-10), 1.0) * (case when y.dist > g.anchor + 0.1 then 0 else 1 end) as w from dpool y join (select qid, min(dist) as anchor from pairs group by qid) g using (qid)),
+ reach2 as (select *, greatest(least(10.0, sum(w) over (partition by qid)), 1e-5) as dyn_k from w2), {coupled("reach2", "lab", ["d0:i0", "d0:i2"], "F")}"""
+
+
+@query(f"with {FILTERED} select qid, 2 as level, row_number() over (partition by qid order by p desc, label) as rank, label, round(p, 6) as prob, empty as degenerate from (select qid, empty, unnest(['d0:i0', 'd0:i2']) as label, unnest([x0, x1]) as p from sF)")
 def predict_filtered(spark, sf):
     model, q = model_of(spark, sf)
-    return classify.predict_proba(model, q, domains=["d0"])
+    return six(classify.predict_proba(model, q, domains=["d0"]), "prob")
+
+
+@query(f"with {TOP1} select qid, label, round(prob, 6) as prob from best")
+def predict_by_cells(spark, sf):
+    """Prediction through an index whose cells are all probed."""
+    corpus, q = vectors_of(spark, sf)
+    index = index_store.build(corpus, folder(spark, "index"), index_store.Spec(n=1, nlist=8, nprobe=8, renormalize=False), cells=True)
+    return six(classify.predict(index.model(), q), "prob")
 
 
 def registered(spark: SparkSession, *intents: str) -> DataFrame:
@@ -405,7 +463,7 @@ def match_tiers(spark, sf):
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    names = [F.concat(F.lit("d"), (F.col("doc_id") % 2).cast("string"), F.lit(":i"), (F.col("doc_id") % 4).cast("string")), F.lit("ocp:play"), F.lit("stop:stop"), F.lit("")]
+    names = [F.concat(F.lit("d"), (F.col("doc_id") % 2).cast("string"), F.lit(":i"), (F.col("doc_id") % 4).cast("string")), F.when(F.col("doc_id") % 2 == 0, "ocp:play").otherwise(F.lit("ocp:play.intent")), F.lit("stop:stop"), F.lit("")]
     rows = F.array(*[F.struct(n.alias("label"), (((F.col("doc_id") * 7 + k * 13) % 100) / 100.0).alias("prob")) for k, n in enumerate(names)])
     return read(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.inline(rows))
 
@@ -416,16 +474,16 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PREDICTIONS = """pred as (select doc_id as qid, 'd' || (doc_id % 2) || ':i' || (doc_id % 4) as label, (doc_id * 7 % 100) / 100.0 as prob from documents
- union all select doc_id, 'ocp:play', ((doc_id * 7 + 13) % 100) / 100.0 from documents union all select doc_id, 'stop:stop', ((doc_id * 7 + 26) % 100) / 100.0 from documents union all select doc_id, '', ((doc_id * 7 + 39) % 100) / 100.0 from documents),
+ union all select doc_id, case doc_id % 2 when 0 then 'ocp:play' else 'ocp:play.intent' end, ((doc_id * 7 + 13) % 100) / 100.0 from documents union all select doc_id, 'stop:stop', ((doc_id * 7 + 26) % 100) / 100.0 from documents union all select doc_id, '', ((doc_id * 7 + 39) % 100) / 100.0 from documents),
  sess as (select doc_id as qid, case doc_id % 5 when 0 then ['x-ocp-pipeline-plugin-high', 'y'] when 1 then ['y'] when 2 then []::varchar[] end as pipeline from documents),
  special as (select qid, s.label from sess, (values ('ocp:play', 'ocp-pipeline-plugin'), ('common_query:common_query', 'common-query-pipeline-plugin'), ('stop:stop', 'stop-pipeline-plugin')) s(label, needle)
    where pipeline is null or len(pipeline) = 0 or len(list_filter(pipeline, lambda p: contains(p, needle))) > 0)"""
 
 
-@query(f"""with {PREDICTIONS}, ok as (select * from pred p where label <> '' and (label in ('d0:i0', 'd1:i3') or exists (select 1 from special s where s.qid = p.qid and s.label = p.label))),
+@query(f"""with {PREDICTIONS}, ok as (select * from pred p where label <> '' and (label in ('d0:i0', 'd1:i3') or exists (select 1 from special s where s.qid = p.qid and s.label = replace(p.label, '.intent', '')))),
  n as (select *, row_number() over (partition by qid order by prob desc, label) as rank, case when sum(prob) over (partition by qid) > 0 then prob / sum(prob) over (partition by qid) else prob end as share from ok)
- select qid, rank, case label when 'ocp:play' then 'common_play' when 'stop:stop' then 'stop' else split_part(label, ':', 1) end as skill_id,
- case label when 'ocp:play' then 'common_play.play_search' when 'stop:stop' then 'stop' else label end as match_type, round(share, 6) as prob from n""")
+ select qid, rank, case replace(label, '.intent', '') when 'ocp:play' then 'common_play' when 'stop:stop' then 'stop' else split_part(label, ':', 1) end as skill_id,
+ case replace(label, '.intent', '') when 'ocp:play' then 'common_play.play_search' when 'stop:stop' then 'stop' else label end as match_type, round(share, 6) as prob from n""")
 def match_candidates(spark, sf):
     options = gate.Gate(ignore=("d0:i2",), renormalize=True)
     found = gate.candidates(predictions(spark, sf), registered(spark, "d0:i0", "d1:i3", "d0:i2"), sessions=sessions(spark, sf), gate=options)
@@ -459,26 +517,135 @@ def diverse_subset(spark, sf):
     return analysis.diverse_subset(sentences(spark, sf), cap=10, caps={"3": 20}).select("seq", "label", "sentence")
 
 
+SENTENCES = "sents as (select vec_id as seq, label::varchar as label, 'w ' || (vec_id % 17) || ' ' || (vec_id % 5) as sentence, case when vec_id % 3 = 0 then 'en' else 'de' end as lang, embedding from embeddings)"
+BAGS = "list_sort(list_distinct(string_split(sentence, ' ')))"
+
+
+@query(f"with {SENTENCES} select label, least(count(distinct {BAGS}), case label when '3' then 20 else 10 end) as n from sents group by label")
+def diverse_counts(spark, sf):
+    return relational.counts(diverse_subset(spark, sf), "label")
+
+
 @query()
 def subset_stats(spark, sf):
     own = sentences(spark, sf)
     return analysis.subset_stats(own, analysis.diverse_subset(own, cap=10))
 
 
+@query(f"""with {SENTENCES} select s.label, count(*) as n_before, count(distinct {BAGS}) as n_deduped, least(count(distinct {BAGS}), 10) as n_after,
+ round((select avg(1 - list_inner_product(a.embedding::double[], b.embedding::double[])) from sents a, sents b where a.label = s.label and b.label = s.label and a.seq <> b.seq), 4) as div_before,
+ round(100 * least(count(distinct {BAGS}), 10) / count(*), 1) as kept_pct from sents s group by s.label""")
+def subset_counts(spark, sf):
+    return subset_stats(spark, sf).select("label", "n_before", "n_deduped", "n_after", "div_before", "kept_pct")
+
+
+def made_stats(spark, sf) -> DataFrame:
+    """A table shaped as the subset's stats: sources of documents, with lengths for diversities."""
+    own = read(spark, sf, "documents").groupBy(F.concat_ws("-", "source", "lang").alias("label"))
+    return own.agg(
+        F.count(F.lit(1)).alias("n_before"), F.countDistinct("text").alias("n_after"), (F.min("n_chars") / 1000).alias("div_before"), (F.max("n_chars") / 1000).alias("div_after"),
+    )
+
+
+STATS = "stats as (select source || '-' || lang as label, count(*) as n_before, count(distinct text) as n_after, min(n_chars) / 1000 as div_before, max(n_chars) / 1000 as div_after from documents group by 1)"
+
+
+@query(f"with {STATS} select sum(n_before)::bigint as n_before, sum(n_after)::bigint as n_after, round(100 * sum(n_after) / sum(n_before), 1) as kept_pct, count(*) as n_labels, round(avg(div_before), 6) as div_before, round(avg(div_after), 6) as div_after from stats")
+def subset_summary(spark, sf):
+    return six(jobs.summary(made_stats(spark, sf)), "div_before", "div_after")
+
+
+@query(f"with {STATS} select label, n_before, n_after from stats where n_before > n_after order by n_before desc, label limit 10")
+def trimmed_labels(spark, sf):
+    return jobs.trimmed(made_stats(spark, sf)).select("label", "n_before", "n_after")
+
+
 @query()
 def topology_report(spark, sf):
     return analysis.topology(read(spark, sf, "embeddings"))
 
 
+@query(f"""select q.label::varchar as "Intent", (select count(*) from embeddings e where e.label = q.label) as "Total_Samples", round(avg({DIST}), 4) as "Spread_Score" from embeddings q join embeddings c on q.label = c.label and q.vec_id < c.vec_id group by q.label""")
+def topology_spread(spark, sf):
+    return topology_report(spark, sf).select("Intent", "Total_Samples", "Spread_Score")
+
+
 @query()
 def medoids(spark, sf):
     return analysis.medoids(read(spark, sf, "embeddings"), 12)
 
 
+def uneven(spark, sf) -> DataFrame:
+    """Labels of very different sizes, so that every branch of balancing runs: of 100 rows in order,
+    60 are of one label, 25, 12 and 3 of others; the smallest has entities."""
+    own = sentences(spark, sf)
+    place = F.col("seq") % 100
+    label = F.when(place < 60, "huge").when(place < 85, "large").when(place < 97, "kept").otherwise("short")
+    slots = F.when(label == "short", F.concat(F.lit("play {track_name} "), F.col("seq").cast("string")))
+    original = F.coalesce(slots, F.concat(F.lit("s "), F.col("seq").cast("string")))
+    return own.withColumns({"label": label, "entity": F.when(slots.isNotNull(), "track_name"), "original_sentence": original, "sentence": original})
+
+
+def shares_of(spark, sf) -> jobs.Balance:
+    n = read(spark, sf, "embeddings").count()
+    return jobs.Balance(huge=n * 40 // 100, large=n * 15 // 100, small=n * 5 // 100, variants=3)
+
+
 @query()
 def balance_job(spark, sf):
-    own = sentences(spark, sf).withColumn("entity", F.lit(None).cast("string")).withColumn("original_sentence", F.col("sentence"))
-    return jobs.balance(own, jobs.Balance(huge=10_000, large=40, small=20), id="seq").select("seq", "label", "sentence")
+    return jobs.balance(uneven(spark, sf), shares_of(spark, sf), id="seq").select("seq", "label", "sentence")
+
+
+@query("""with n as (select count(*) as n from embeddings), l as (select case when vec_id % 100 < 60 then 'huge' when vec_id % 100 < 85 then 'large' when vec_id % 100 < 97 then 'kept' else 'short' end as label,
+   case when vec_id % 3 = 0 then 'en' else 'de' end as lang from embeddings),
+ c as (select label, lang, count(*) as m, sum(count(*)) over (partition by label) as s from l group by all)
+ select label, (case label when 'large' then sum(ceil(m * (n * 15 // 100) / s)) when 'kept' then sum(m) else 4 * sum(m) end)::bigint as n from c, n where label <> 'huge' group by label, n""")
+def balance_counts(spark, sf):
+    """Rows of the labels that are sampled, kept or refilled; those of medoids follow k-means."""
+    return relational.counts(balance_job(spark, sf).where("label <> 'huge'"), "label")
+
+
+@query(rf"""with {RAW}, c as (select * from raw where label is not null and trim(sentence) <> '' and regexp_matches(sentence, '\{{[^}}]+\}}'))
+ select regexp_replace(trim(label), '(\.intent)+$', '') || '.intent' as label, 10 * count(*) as n from c group by 1""")
+def variant_counts(spark, sf):
+    return relational.counts(faker_variants(spark, sf), "label")
+
+
+# Files: written to the shared folder and read back.
+@query(rf"with {RAW} select p_partkey::varchar as p_partkey, label, lang, sentence from raw where trim(sentence) <> ''")
+def csv_round_trip(spark, sf):
+    path = folder(spark, "raw")
+    tables.write_csv(raw_intents(spark, sf).where("trim(sentence) <> ''"), path)
+    return tables.read_dataset(spark, path)[0]
+
+
+@query("select 'd:' || item_id as label, text as utterance from benchmark")
+def json_lines(spark, sf):
+    path = folder(spark, "golden")
+    own = read(spark, sf, "benchmark").select(F.concat(F.lit("d:"), F.col("item_id").cast("string")).alias("label"), F.col("text").alias("utterance"))
+    own.write.mode("overwrite").json(path)
+    return tables.read_golden(spark, path)
+
+
+@query("select vec_id, label, embedding from embeddings")
+def dims_round_trip(spark, sf):
+    path = tables.write_parquet(read(spark, sf, "embeddings"), f"{folder(spark, 'vectors')}/v.csv", dims=64)
+    return tables.read_dataset(spark, path)[0].select("vec_id", "label", "embedding")
+
+
+@query(f"with {TOP1} select qid, label as match_type, round(prob, 6) as confidence, split_part(label, ':', 1) as skill_id, 'say ' || qid as utterance from best where label in ('d0:i0', 'd1:i1') and prob >= 0.5")
+def match_emitted(spark, sf):
+    model, q = model_of(spark, sf, n=1, renormalize=False)
+    found = gate.candidates(classify.predict(model, q), registered(spark, "d0:i0", "d1:i1"))
+    said = q.select("qid", F.concat(F.lit("say "), F.col("qid").cast("string")).alias("utterance"))
+    out = gate.match(found, "medium", utterances=said)
+    return six(out.select("qid", "match_type", F.col("match_data.confidence").alias("confidence"), "skill_id", "utterance"), "confidence")
+
+
+@query(f"""with {TOP1} select b.qid, b.label, 'd' || (e.label % 2) || ':i' || (e.label % 4) as truth from best b join embeddings e on b.qid = e.vec_id where b.label <> 'd' || (e.label % 2) || ':i' || (e.label % 4)""")
+def report_misses(spark, sf):
+    model, q = model_of(spark, sf, n=1, renormalize=False)
+    return classify.misses(classify.predict(model, q), truth_of(spark, sf))
 
 
 @query()
@@ -490,20 +657,33 @@ def encode_job(spark, sf):
 @query(f"with {TOP1} select count(*) as n, count(*) filter (where b.label = 'd' || (e.label % 2) || ':i' || (e.label % 4))::bigint as n_correct, round(avg((b.label = 'd' || (e.label % 2) || ':i' || (e.label % 4))::int), 6) as accuracy from best b join embeddings e on b.qid = e.vec_id")
 def accuracy_report(spark, sf):
     model, q = model_of(spark, sf, n=1, renormalize=False)
-    truth = read(spark, sf, "embeddings").where("vec_id % 50 = 0").select(
-        F.col("vec_id").alias("qid"), F.concat(F.lit("d"), (F.col("label") % 2).cast("string"), F.lit(":i"), (F.col("label") % 4).cast("string")).alias("label")
-    )
-    return six(classify.accuracy(classify.predict(model, q), truth), "accuracy")
+    return six(classify.accuracy(classify.predict(model, q), truth_of(spark, sf)), "accuracy")
 
 
-@query("""with c as (select 'u' || user_id as skill, 'k' || json_extract_string(props, '$.k') as intent, event_type, ts, event_id from events where event_type in ('signup', 'error')),
- l as (select skill, intent, arg_max(event_type, (ts, event_id)) as last from c group by skill, intent) select skill, intent from l where last = 'signup'""")
-def registry_snapshot(spark, sf):
-    own = read(spark, sf, "events").where("event_type in ('signup', 'error')").select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("skill"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("intent"),
-        F.when(F.col("event_type") == "signup", "register").otherwise("detach").alias("kind"), "ts", "event_id",
+SNAPSHOT = """c as (select 'u' || user_id as skill, 'k' || json_extract_string(props, '$.k') as intent, event_type, ts, event_id from events where event_type in ('signup', 'error')),
+ l as (select skill, intent, arg_max(event_type, (ts, event_id)) as last from c group by skill, intent)"""
+
+
+def change_events(spark, sf) -> DataFrame:
+    return read(spark, sf, "events").where("event_type in ('signup', 'error')").select(
+        "event_id", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("skill"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("intent"),
+        F.when(F.col("event_type") == "signup", "register").otherwise("detach").alias("kind"),
     )
-    return gate.snapshot(own, key=["skill", "intent"], order="event_id")
+
+
+@query(f"with {SNAPSHOT} select skill, intent from l where last = 'signup'")
+def registry_snapshot(spark, sf):
+    return gate.snapshot(change_events(spark, sf), key=["skill", "intent"], order="event_id")
+
+
+@query(f"with {SNAPSHOT} select distinct intent from l where last = 'signup'")
+def registry_stream_kept(spark, sf):
+    """The same through the stream: files of changes, keyed state, and the snapshot that is kept."""
+    root = folder(spark, "changes")
+    own = change_events(spark, sf).withColumnRenamed("skill", "source").select("event_id", "ts", "source", "kind", "intent")
+    own.repartitionByRange(3, "ts").write.mode("overwrite").parquet(f"{root}/in")
+    registry_stream.keep_snapshot(registry_stream.changes(spark, f"{root}/in", files=1), f"{root}/kept", f"{root}/check", seconds=None).awaitTermination()
+    return registry_stream.registered(spark, f"{root}/kept")
 
 
 @query("""select distinct 'd' || (label % 2) as domain from embeddings union select 'ocp' union select 'common_query' union select 'stop'""")

@@ -31,13 +31,22 @@ def _storage(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def _own(spark: SparkSession) -> str:
+    """This application's folder, made once and deleted when the driver ends."""
+    context, base = spark.sparkContext, root(spark)
+    known = getattr(context, "_vectrail_scratch", {})
+    if base not in known:
+        path = f"{base}/vectrail-{uuid.uuid4().hex}"
+        storage, where = _storage(spark, path)
+        storage.mkdirs(where)
+        storage.deleteOnExit(where)
+        context._vectrail_scratch = known | {base: path}
+    return context._vectrail_scratch[base]
+
+
 def folder(spark: SparkSession, label: str) -> str:
-    """A path of no other use, deleted when the driver ends if it exists then."""
-    path = f"{root(spark)}/vectrail-{label}-{uuid.uuid4().hex}"
-    storage, where = _storage(spark, path)
-    storage.mkdirs(where)
-    storage.deleteOnExit(where)
-    return path
+    """A path of no other use within this application's folder."""
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 class Tables:
@@ -52,7 +61,7 @@ class Tables:
         spark = df.sparkSession
         path = folder(spark, label)
         self.paths.append((spark, path))
-        df.write.mode("overwrite").parquet(path)
+        df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:

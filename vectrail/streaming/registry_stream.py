@@ -46,19 +46,49 @@ def latest(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def keep_snapshot(events: DataFrame, path: str, checkpoint: str, seconds: int = 3) -> StreamingQuery:
-    """Appends each change to a Parquet log at ``path``; batches debounce bursts of events."""
+KEY = ("source", "intent")
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
 
-    return latest(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a kept snapshot, oldest first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
+
+
+def _kept(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    known = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={known[-1]}") if known else None
+
+
+def keep_version(batch: DataFrame, number: int, path: str) -> None:
+    """The snapshot before ``number`` and a batch of changes, merged to each intent's latest change,
+    as a version of its own; the last two stay. Its size is that of the registry, not of its history,
+    and a replayed batch writes the same version again."""
+    spark = batch.sparkSession
+    held = _kept(spark, path, number)
+    rows = batch if held is None else held.unionByName(batch.select(*held.columns))
+    others = [c for c in rows.columns if c not in KEY]
+    last = rows.groupBy(*KEY).agg(F.max(F.struct("ts", "event_id", *[c for c in others if c not in ("ts", "event_id")])).alias("x"))
+    last.select(*KEY, *[F.col(f"x.{c}").alias(c) for c in others]).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={number}")
+    for old in [v for v in _versions(spark, path) if v < number - 1][:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def keep_snapshot(events: DataFrame, path: str, checkpoint: str, seconds: int | None = 3) -> StreamingQuery:
+    """Keeps the snapshot of changes at ``path``; batches debounce bursts of events. Without
+    ``seconds`` the stream ends when all there is has been read."""
+    trigger = {"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True}
+    stream = latest(events).writeStream.outputMode("update").foreachBatch(lambda batch, number: keep_version(batch, number, path))
+    return stream.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def registered(spark: SparkSession, path: str, added: str = "register") -> DataFrame:
-    """(intent) registered by any source, from the log. A replayed batch changes nothing."""
-    log = spark.read.parquet(path)
-    return gate.snapshot(log, key=["source", "intent"], order="event_id", added=added).select("intent").distinct()
+    """(intent) registered by any source, from a kept snapshot or a log of changes."""
+    held = _kept(spark, path)
+    log = spark.read.parquet(path) if held is None else held
+    return gate.snapshot(log, key=KEY, order="event_id", added=added).select("intent").distinct()
 
 
 def match_stream(queries: DataFrame, predict: Callable[[DataFrame], DataFrame], registry_path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, options: gate.Gate = gate.Gate()) -> StreamingQuery:
