@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from vectrail.operators import classify, gate, knn
 from vectrail.operators.coupling import Kernel
+from vectrail.plans import registry
+from vectrail.plans.engine import Engine
 from vectrail.sources import index_store
 
 LABELS = ["domain_a:intent_x", "domain_a:intent_y", "domain_b:intent_z", "domain_b:intent_w"]
@@ -136,3 +138,87 @@ def test_match_rows(spark):
     said = spark.createDataFrame([(0, "do it")], "qid long, utterance string")
     row = gate.match(gate.candidates(predicted, known), "high", utterances=said).first()
     assert row["match_data"].asDict() == {"utterance": "do it", "confidence": 0.9} and row["skill_id"] == "s"
+
+
+def brute(spark, sf, k):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    asked = [r for r in rows if r["vec_id"] % 50 == 0]
+    rest = sorted((r for r in rows if r["vec_id"] % 50), key=lambda r: r["vec_id"])
+    x = np.array([r["embedding"] for r in rest], np.float64)
+    near = {}
+    for r in asked:
+        d = np.arccos(np.clip(x @ np.array(r["embedding"], np.float64), -1, 1))
+        near[r["vec_id"]] = {rest[j]["vec_id"] for j in np.argsort(d, kind="stable")[:k]}
+    return near
+
+
+def test_recall_of_probed_cells(spark):
+    sf = "/root/testdata/sf0.01"
+    want = brute(spark, sf, 10)
+    found = registry.queries()["knn_probed"](spark, sf).collect()
+    hits = sum(r["vec_id"] in want[r["qid"]] for r in found)
+    assert hits / (10 * len(want)) >= 0.9
+
+
+@pytest.fixture(scope="module")
+def cells(spark, tmp_path_factory):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 8)) + 3 * np.eye(8)[rng.integers(0, 6, 600)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, f"d{k % 3}:i{k % 6}", v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    return df, index_store.build(df, str(tmp_path_factory.mktemp("cells") / "i"), index_store.Spec(nlist=6, nprobe=2, n=3, rows_per_file=40), cells=True)
+
+
+def test_probing_is_the_same_by_scan_and_cogroup(spark, cells):
+    df, index = cells
+    q = df.where("vec_id < 40").select(F.col("vec_id").alias("qid"), "embedding")
+    key = lambda found: sorted((r["qid"], r["rank"], r["vec_id"]) for r in found.collect())
+    some = key(knn.probe(index.corpus, index.centroids, q, 5, 2))
+    assert some == key(knn.probe(index.corpus, index.centroids, q, 5, 2, block=7)) and len(some) == 200
+    assert key(knn.probe(index.corpus, index.centroids, q, 5, 6)) == key(knn.distances(df, q, 5))
+
+
+def test_predicting_through_cells(spark, cells):
+    df, index = cells
+    q = df.where("vec_id % 15 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    plain = classify.Model(df, n=3)
+    key = lambda model, **o: {(r["qid"], r["level"], r["label"]): r["prob"] for r in classify.predict_proba(model, q, every_level=True, **o).collect()}
+    whole = index_store.load(spark, index.corpus.inputFiles()[0].split("/corpus/")[0], nprobe=6).model()
+    for options in ({}, {"domains": ["d1", "d2"]}):
+        a, b = key(whole, **options), key(plain, **options)
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+    near = {k[0]: k[2] for k, p in sorted(key(index.model()).items(), key=lambda x: x[1]) if k[1] == 2}
+    want = {k[0]: k[2] for k, p in sorted(key(plain).items(), key=lambda x: x[1]) if k[1] == 2}
+    assert sum(near[k] == want[k] for k in want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("kernel", [Kernel(k=3), Kernel(k=3, shell=False), Kernel(k=3, on_empty_shell="pool_anchor", margin=0.02), Kernel(k=2, tau=0.3)])
+@pytest.mark.parametrize("global_anchor", [True, False])
+def test_leaving_out_what_has_no_weight_changes_nothing(spark, cells, kernel, global_anchor, monkeypatch):
+    df, _ = cells
+    q = df.where("vec_id % 29 = 0").select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    model = classify.Model(df.where("vec_id < 150"), n=2, kernel=kernel, anchor_to_global=global_anchor)
+    key = lambda: sorted((r["qid"], r["rank"], r["label"], round(r["prob"], 9), r["degenerate"]) for r in classify.predict_proba(model, q, domains=["d0", "d2"]).collect())
+    some, whole = key(), knn.nearest
+    monkeypatch.setattr(knn, "nearest", lambda *a, **o: whole(*a, **(o | {"margin": None})))
+    assert some == key()
+
+
+def test_an_index_from_settings_to_matches(spark, corpus, tmp_path):
+    index_store.build(corpus, str(tmp_path / "i"), index_store.Spec(k=3, n=2))
+    engine = Engine(spark, {"index": str(tmp_path / "i"), "tiers": {"high": 0.6}, "ignore": ["domain_b:intent_w"]})
+    assert engine.candidates(ask(spark, X)).count() == 0 and not engine.sync(spark.createDataFrame([], "intent string"))
+    known = spark.createDataFrame([(x,) for x in LABELS], "intent string")
+    assert engine.sync(known) and {r[0] for r in engine.domains().collect()} >= {"domain_a", "domain_b"}
+    assert [r["match_type"] for r in engine.match(ask(spark, X), "high").collect()] == ["domain_a:intent_x"]
+    assert not engine.sync() and engine.intents.count() == 3
+    said = spark.createDataFrame([(7, "hello there")], "qid long, utterance string")
+    assert len(engine.embedded(said).first()["embedding"]) == 64
+    with pytest.raises(ValueError):
+        Engine(spark, {"index": str(tmp_path / "i"), "nonsense": 1})
+
+
+def test_special_labels_may_have_the_suffix(spark):
+    rows, _ = gated(spark, [("ocp:play.intent", 0.9), ("stop:stop.intent.intent", 0.5)], [])
+    assert [r["match_type"] for r in rows] == ["common_play.play_search", "stop"]

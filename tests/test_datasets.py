@@ -151,3 +151,58 @@ def test_registry_stream(spark, tmp_path):
     put("b", [event(4, 4, "register", "s:b"), event(5, 5, "register", "p:c", "padatious"), event(0, 0, "detach", "s:a")])
     run()
     assert sorted(r[0] for r in registry_stream.registered(spark, str(tmp_path / "log")).collect()) == ["p:c", "s:a", "s:b"]
+
+
+def test_kept_snapshot_and_matches_of_a_stream(spark, tmp_path):
+    def put(name, rows):
+        df = spark.createDataFrame(rows, "event_id long, ts string, source string, kind string, intent string").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def keep():
+        registry_stream.keep_snapshot(registry_stream.changes(spark, str(tmp_path / "in" / "*")), str(tmp_path / "kept"), str(tmp_path / "c"), seconds=None).awaitTermination()
+
+    at = "2024-01-01 00:00:{:02d}"
+    for k, intent in enumerate(["s:a", "s:b", "s:c", "s:d", "s:e"]):
+        put(f"f{k}", [(k, at.format(k), "adapt", "register", intent)])
+        keep()
+    put("g", [(9, at.format(9), "adapt", "detach", "s:b")])
+    keep()
+    assert sorted(r[0] for r in registry_stream.registered(spark, str(tmp_path / "kept")).collect()) == ["s:a", "s:c", "s:d", "s:e"]
+    assert len(list((tmp_path / "kept").glob("version=*"))) <= 3
+    registry_stream.keep_version(spark.createDataFrame([(9, "adapt", "detach", "s:b")], "event_id long, source string, kind string, intent string").withColumn("ts", F.to_timestamp(F.lit(at.format(9)))), 6, str(tmp_path / "kept"))
+    assert registry_stream.registered(spark, str(tmp_path / "kept")).count() == 4
+
+    spark.createDataFrame([(1, "s:a"), (2, "s:b")], "qid long, label string").write.parquet(str(tmp_path / "q"))
+    seen = []
+    stream = spark.readStream.schema("qid long, label string").parquet(str(tmp_path / "q"))
+    q = registry_stream.match_stream(stream, lambda batch: batch.withColumn("prob", F.lit(0.8)), str(tmp_path / "kept"), lambda df, n: seen.extend(df.collect()), str(tmp_path / "c2"))
+    q.awaitTermination()
+    assert {(r["qid"], r["tier"]) for r in seen} == {(1, "high"), (1, "medium"), (1, "low")}
+
+
+def test_errors_of_a_provider_are_rows(spark):
+    df = spark.createDataFrame([("a", "en", f"s{k}") for k in range(9)] + [("b", "de", "x")], "label string, lang string, sentence string")
+    needs = spark.createDataFrame([("a", 2), ("b", 3)], "label string, needed int")
+
+    def provider(label, lang, some, n):
+        if label == "b":
+            raise ValueError("down")
+        return [f"{x}!" for x in some[:n]] if len(some) == 5 else []
+
+    rows = {(r["label"], r["sentence"] is None, r["error"]) for r in jobs.paraphrased(df, needs, provider).collect()}
+    assert rows == {("a", False, None), ("b", True, "ValueError: down")}
+
+
+def test_csv_keeps_white_space_and_missing(spark, tmp_path):
+    rows = [("  a ", "x\ny", '"q", z'), (None, " ", "é")]
+    df = spark.createDataFrame(rows, "label string, lang string, sentence string")
+    tables.write_csv(df, str(tmp_path / "w"))
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "w")).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_a_hot_label_is_capped_in_parts(spark):
+    df = spark.range(5000).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 4900, "hot").alias("label"))
+    got = {r["label"]: r["count"] for r in analysis._capped(df, "label", "vec_id", 300).groupBy("label").count().collect()}
+    order = df.where("label = 'hot'").orderBy(F.md5(F.concat(F.lit("42"), F.col("vec_id").cast("string"))), "vec_id").limit(300)
+    assert got == {"hot": 300, None: 100}
+    assert {r[0] for r in analysis._capped(df, "label", "vec_id", 300).where("label = 'hot'").select("vec_id").collect()} == {r["vec_id"] for r in order.collect()}

@@ -15,11 +15,24 @@ from vectrail.functions.vectors import unit
 from vectrail.operators.relational import md5_order, word_bag_distinct
 
 
-def _capped(df: DataFrame, label: str, id: str, most: int | None) -> DataFrame:
+def _capped(df: DataFrame, label: str, id: str, most: int | None, parts: int = 64) -> DataFrame:
+    """At most ``most`` rows of a label, those first by md5. Only ids are ordered, those of a label in
+    several parts first, so that no task holds a large label."""
     if most is None:
         return df
-    place = F.row_number().over(Window.partitionBy(label).orderBy(md5_order(F.col(id), "42"), id))
-    return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    order = (md5_order(F.col(id), "42"), id)
+    ids = df.select(label, id).withColumn("_part", F.pmod(F.xxhash64(id), F.lit(parts)))
+    for by in ((label, "_part"), (label,)):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        ids = ids.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    ids = ids.select(F.col(label).alias("_label"), F.col(id).alias("_id")).distinct()
+    return df.join(ids, F.col(label).eqNullSafe(F.col("_label")) & F.col(id).eqNullSafe(F.col("_id")), "left_semi")
+
+
+def _sized(df: DataFrame, label: str) -> DataFrame:
+    """With _n, the rows of a label: counted before the shuffle."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_label")
+    return df.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def cosine_diversity(df: DataFrame, label: str = "label", embedding: str = "embedding") -> DataFrame:
@@ -101,8 +114,7 @@ def diverse_subset(
 ) -> DataFrame:
     """The rows kept for each label: without repeated word bags, then the ``cap`` most diverse of
     at most ``pool``. Labels of ``intact`` rows or fewer stay whole."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    own = df.withColumn("_n", n)
+    own = _sized(df, label)
     small = own.where(F.col("_n") <= intact).drop("_n")
     rest = own.where(F.col("_n") > intact).drop("_n")
     bags = word_bag_distinct(rest, sentence, seq, [label])
@@ -176,7 +188,7 @@ def silhouette(x: np.ndarray, own: np.ndarray) -> float:
 def topology(df: DataFrame, *, label: str = "label", id: str = "vec_id", embedding: str = "embedding", min_samples: int = 20, most: int = 10_000, floor: float = 0.15) -> DataFrame:
     """Intent, Total_Samples, Spread_Score, Estimated_Islands, Island_Separation_Score."""
     own = df.select(F.col(label).cast("string").alias("Intent"), id, unit(F.col(embedding), 1e-10).alias("_v"))
-    own = own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("Intent")))
+    own = _sized(own, "Intent")
     schema = "Intent string, Total_Samples long, Spread_Score double, Estimated_Islands int, Island_Separation_Score double"
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:

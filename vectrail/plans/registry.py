@@ -306,7 +306,7 @@ def knn_all_cells(spark, sf):
 @query()
 def knn_probed(spark, sf):
     corpus, q = vectors_of(spark, sf)
-    index = index_store.build(corpus, folder(spark, "index"), index_store.Spec(nlist=8, nprobe=3), cells=True)
+    index = index_store.build(corpus, folder(spark, "index"), index_store.Spec(nlist=8, nprobe=7), cells=True)
     return index.search(q, K)
 
 
@@ -419,12 +419,12 @@ PROBA = f"""cpairs as (select q.vec_id as qid, c.vec_id, {DIST} as dist, 'd' ||
  got1 as (select *, greatest(least(10.0, sum(w) over (partition by qid)), 1e-5) as dyn_k from near1), got2 as (select *, greatest(least(10.0, sum(w) over (partition by qid)), 1e-5) as dyn_k from near2),
  {coupled("got1", "dom", ["d0", "d1"], "A")}, {coupled("got2", "cls", NAMES, "B")},
  joint as (select b.qid, b.empty, unnest([{", ".join(f"{{'label': '{c}', 'p': {'a.x0' if c.startswith('d0') else 'a.x1'} * b.x{i}}}" for i, c in enumerate(NAMES))}]) as u from sB b join sA a using (qid)),
- ranked as (select qid, empty, u.label as label, u.p as p, row_number() over (partition by qid order by u.p desc, u.label) as rank from joint)"""
+ ranked as (select qid, empty, u.label as label, u.p as p, row_number() over (partition by qid order by round(u.p, 12) desc, u.label) as rank from joint)"""
 
 
 @query(
     f"""with {PROBA} select qid, 2 as level, rank, label, round(p / sum(p) over (partition by qid), 6) as prob, empty as degenerate from ranked where rank <= 5
- union all select qid, 1, row_number() over (partition by qid order by p desc, label), label, round(p, 6), empty from (select qid, empty, unnest(['d0', 'd1']) as label, unnest([x0, x1]) as p from sA)"""
+ union all select qid, 1, row_number() over (partition by qid order by round(p, 12) desc, label), label, round(p, 6), empty from (select qid, empty, unnest(['d0', 'd1']) as label, unnest([x0, x1]) as p from sA)"""
 )
 def predict_proba(spark, sf):
     corpus, q = vectors_of(spark, sf)
@@ -437,7 +437,7 @@ FILTERED = f"""{PAIRS}, dpool as (select * from (select *, row_number() over (pa
  reach2 as (select *, greatest(least(10.0, sum(w) over (partition by qid)), 1e-5) as dyn_k from w2), {coupled("reach2", "lab", ["d0:i0", "d0:i2"], "F")}"""
 
 
-@query(f"with {FILTERED} select qid, 2 as level, row_number() over (partition by qid order by p desc, label) as rank, label, round(p, 6) as prob, empty as degenerate from (select qid, empty, unnest(['d0:i0', 'd0:i2']) as label, unnest([x0, x1]) as p from sF)")
+@query(f"with {FILTERED} select qid, 2 as level, row_number() over (partition by qid order by round(p, 12) desc, label) as rank, label, round(p, 6) as prob, empty as degenerate from (select qid, empty, unnest(['d0:i0', 'd0:i2']) as label, unnest([x0, x1]) as p from sF)")
 def predict_filtered(spark, sf):
     model, q = model_of(spark, sf)
     return six(classify.predict_proba(model, q, domains=["d0"]), "prob")
@@ -596,10 +596,10 @@ def balance_job(spark, sf):
     return jobs.balance(uneven(spark, sf), shares_of(spark, sf), id="seq").select("seq", "label", "sentence")
 
 
-@query("""with n as (select count(*) as n from embeddings), l as (select case when vec_id % 100 < 60 then 'huge' when vec_id % 100 < 85 then 'large' when vec_id % 100 < 97 then 'kept' else 'short' end as label,
+@query("""with t as (select count(*) as total from embeddings), l as (select case when vec_id % 100 < 60 then 'huge' when vec_id % 100 < 85 then 'large' when vec_id % 100 < 97 then 'kept' else 'short' end as label,
    case when vec_id % 3 = 0 then 'en' else 'de' end as lang from embeddings),
- c as (select label, lang, count(*) as m, sum(count(*)) over (partition by label) as s from l group by all)
- select label, (case label when 'large' then sum(ceil(m * (n * 15 // 100) / s)) when 'kept' then sum(m) else 4 * sum(m) end)::bigint as n from c, n where label <> 'huge' group by label, n""")
+ g as (select label, lang, count(*) as m from l group by label, lang), c as (select g.*, total, sum(m) over (partition by label) as s from g, t)
+ select label, case label when 'large' then sum(ceil(m * (total * 15 // 100) / s))::bigint when 'kept' then sum(m)::bigint else 4 * sum(m)::bigint end as n from c where label <> 'huge' group by label""")
 def balance_counts(spark, sf):
     """Rows of the labels that are sampled, kept or refilled; those of medoids follow k-means."""
     return relational.counts(balance_job(spark, sf).where("label <> 'huge'"), "label")
@@ -682,7 +682,7 @@ def registry_stream_kept(spark, sf):
     root = folder(spark, "changes")
     own = change_events(spark, sf).withColumnRenamed("skill", "source").select("event_id", "ts", "source", "kind", "intent")
     own.repartitionByRange(3, "ts").write.mode("overwrite").parquet(f"{root}/in")
-    registry_stream.keep_snapshot(registry_stream.changes(spark, f"{root}/in", files=1), f"{root}/kept", f"{root}/check", seconds=None).awaitTermination()
+    registry_stream.keep_snapshot(registry_stream.changes(spark, f"{root}/in", files=1), f"{root}/kept", f"{root}/check", seconds=None, delay="1000 days").awaitTermination()
     return registry_stream.registered(spark, f"{root}/kept")
 
 

@@ -35,6 +35,7 @@ class Spec:
     renormalize: bool = True
     train_rows_per_cell: int = 40
     rows_per_cell: int = 256
+    rows_per_file: int = 1_000_000
     encoder_path: str | None = None
     encoder_file: str | None = None
 
@@ -102,7 +103,10 @@ def build(df: DataFrame, path: str, spec: Spec = Spec(), cells: bool | None = No
         table = table.withColumn("embedding", unit(F.col("embedding"))).withColumnRenamed("embedding", spec.embedding)
         table.write.mode("overwrite").parquet(f"{path}/centroids")
         placed = model.transform(featured).drop("_f")
-        placed.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/corpus")
+        # A large cell is written by several tasks.
+        files = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / spec.rows_per_file).alias("_files"))
+        placed = placed.join(F.broadcast(files), "cell").withColumn("_file", F.pmod(F.xxhash64(spec.id), F.col("_files"))).drop("_files")
+        placed.repartition("cell", "_file").drop("_file").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/corpus")
     else:
         rows.write.mode("overwrite").parquet(f"{path}/corpus")
     meta = {"spec": asdict(spec), "rows": n, "levels": levels, "cells": cells, "min_domain_rows": sizes[0] if sizes else None}

@@ -56,7 +56,8 @@ def parquet_path(path: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").option("header", True).option("escape", '"').options(**kept).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, dims: int | None = None) -> str:

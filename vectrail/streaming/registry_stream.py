@@ -76,11 +76,11 @@ def keep_version(batch: DataFrame, number: int, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def keep_snapshot(events: DataFrame, path: str, checkpoint: str, seconds: int | None = 3) -> StreamingQuery:
+def keep_snapshot(events: DataFrame, path: str, checkpoint: str, seconds: int | None = 3, delay: str = "10 minutes") -> StreamingQuery:
     """Keeps the snapshot of changes at ``path``; batches debounce bursts of events. Without
     ``seconds`` the stream ends when all there is has been read."""
     trigger = {"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True}
-    stream = latest(events).writeStream.outputMode("update").foreachBatch(lambda batch, number: keep_version(batch, number, path))
+    stream = latest(events, delay).writeStream.outputMode("update").foreachBatch(lambda batch, number: keep_version(batch, number, path))
     return stream.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
