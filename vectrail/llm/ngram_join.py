@@ -366,7 +366,7 @@ def _same_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
 
 def join(
     docs: DataFrame, *, doc: str = "doc_id", text: str = "text", percent: int = 80, frequent: int = 64,
-    block: int = 256, broadcast_ids: int = 500_000, range_shingles: int = 4_000_000, hot: int = 1024,
+    block: int = 256, broadcast_ids: int = 500_000, range_shingles: int = 4_000_000, hot: int = 256,
 ) -> DataFrame:
     """``doc``, n_shingles and component_id for every row."""
     rows = docs.select(F.col(f"`{doc}`").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

@@ -145,6 +145,7 @@ def train(
     pick = pick.groupBy("_doc").agg(F.max("_label").alias("_label"))
     pick = pick.orderBy(F.xxhash64("_doc"), "_doc").limit(rows)
     own = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(pick), "_doc")
+    own = own.groupBy("_doc", "_label").agg(F.min("_text").alias("_text"))  # one text of a repeated id
     kind = docs.schema[doc].dataType.simpleString()
     label_kind = labelled.schema[label].dataType.simpleString()
 
@@ -157,7 +158,6 @@ def train(
 
     got = own.select("_doc", "_label", "_text").mapInArrow(W.mapped(work, "_text"), f"doc {kind}, label {label_kind}, buckets binary, counts binary").collect()
     got.sort(key=lambda r: (r["doc"], r["buckets"]))
-    got = got[:rows]
     classes = sorted({r["label"] for r in got})
     if not classes:
         return Model([None], np.zeros((1, 1 << bits), np.float32), np.zeros(1), bits)

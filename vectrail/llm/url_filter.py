@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import ascii_lower
+from vectrail.llm.common import ascii_lower, let
 
 #: (host, path, verdict): the rules of the registered query. Fixed values.
 RULES = (
@@ -49,13 +49,17 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
 
 
 def expressions(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
-    parts = F.split(host, r"\.")
-    suffixes = [
-        F.when(F.size(parts) >= k, F.array_join(F.slice(parts, F.size(parts) - k + 1, k), ".")) for k in labels
-    ]
-    prefixes = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
-    both = [F.concat(s, p) for s in suffixes for p in prefixes]
-    return F.array_compact(F.array(*both)) if both else F.array().cast("array<string>")
+    """Every host suffix of some number of labels, joined to every path prefix of some length."""
+
+    def made(parts: Column) -> Column:
+        suffixes = F.transform(
+            F.filter(F.array(*[F.lit(k) for k in labels]), lambda k: F.size(parts) >= k),
+            lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."),
+        )
+        prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: F.length(path) >= n), lambda n: F.substring(path, F.lit(1), n))
+        return let(prefixes, lambda ps: F.flatten(F.transform(suffixes, lambda s: F.transform(ps, lambda p: F.concat(s, p)))))
+
+    return let(F.split(host, r"\."), made) if labels and lengths else F.array().cast("array<string>")
 
 
 def filter_urls(
