@@ -1,4 +1,9 @@
-"""Gradient-boosted trees for two classes: logistic loss, histogram splits, complete trees."""
+"""Gradient-boosted trees for two classes: logistic loss, histogram splits, complete trees.
+
+Defined results: of equal splits the first feature's lowest cut is taken; a node that no split improves
+sends all its rows left; rows of one class only give its log-odds, bounded; no rows to judge give none.
+Training holds all its rows in memory: they are few, and made.
+"""
 
 from __future__ import annotations
 

@@ -1,7 +1,8 @@
 """Labelled pages made from a seed, to learn what main text looks like among the rest of a page.
 
 Every run of text starts with a mark telling main text from the rest. Words are random syllables,
-so nothing is learned of any language; layouts, tags, class names, lengths and places vary.
+so nothing is learned of any language; layouts, tags, class names, lengths and places vary. Page k of a
+seed is always the same, and no pages are an empty list.
 """
 
 from __future__ import annotations
