@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vectrail.llm import decontaminate, mixing, ngram_join, quality_rules, secrets
 from vectrail.llm.common import table
 from vectrail.llm.queries import PIECES
-from vectrail.sources.scratch import written
+from vectrail.sources.scratch import Tables
 from vectrail.sources.shipping import ship
 
 
@@ -48,14 +48,19 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-#: Similarity components and a trained classifier have no SQL form; tests use brute force.
+#: Similarity components and a trained classifier have no SQL form; tests/llm/test_pipeline.py holds
+#: every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{k}")
+            own = Tables()
+            docs = own.written(docs, f"pipeline-{k}")
+            if last:
+                last.drop()  # the stage before has been read
+            last = own
     return docs
