@@ -8,16 +8,16 @@ from vectrail.plans import registry
 from vectrail.plans.engine import Engine
 from vectrail.sources import index_store
 
-LABELS = ["domain_a:intent_x", "domain_a:intent_y", "domain_b:intent_z", "domain_b:intent_w"]
+LABELS = ["home:lamp", "home:door", "music:song", "music:radio"]
 
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    rng = np.random.default_rng(0)
+    # Six rows a label around an axis of its own, each leaning a little towards another free axis.
     rows = []
     for c, label in enumerate(LABELS):
-        for _ in range(5):
-            v = np.eye(8)[c] + 0.05 * rng.standard_normal(8)
+        for lean in range(6):
+            v = np.eye(8)[2 * c] + 0.1 * np.eye(8)[2 * ((lean + c) % 4) + 1] * (1 + lean % 3)
             rows.append((len(rows), label, [float(x) for x in v / np.linalg.norm(v)]))
     return spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
 
@@ -32,12 +32,12 @@ def ask(spark, *vectors):
     return spark.createDataFrame(rows, "qid long, embedding array<float>")
 
 
-X, Z = [1, 0.02, 0, 0, 0, 0, 0, 0], [0, 0, 1, 0.02, 0, 0, 0, 0]
+X, Z = [5, 1, 0, 0, 0, 0, 0, 1], [0, 0, 0, 1, 5, 0, 1, 0]
 
 
 def test_top_class_of_each_query(spark, model):
     got = {r["qid"]: r["label"] for r in classify.predict(model, ask(spark, X, Z)).collect()}
-    assert got == {0: "domain_a:intent_x", 1: "domain_b:intent_z"}
+    assert got == {0: "home:lamp", 1: "music:song"}
 
 
 def test_probabilities_sum_to_one_at_every_level(spark, model):
@@ -47,17 +47,17 @@ def test_probabilities_sum_to_one_at_every_level(spark, model):
 
 def test_level_one(spark, model):
     got = {r["label"] for r in classify.predict_proba(model, ask(spark, X), level=1).collect()}
-    assert got <= {"domain_a", "domain_b"}
+    assert got <= {"home", "music"}
 
 
 def test_domain_filter(spark, model):
-    rows = classify.predict_proba(model, ask(spark, Z), domains=["domain_a"]).collect()
-    assert rows and all(r["label"].startswith("domain_a:") for r in rows)
+    rows = classify.predict_proba(model, ask(spark, Z), domains=["home"]).collect()
+    assert rows and all(r["label"].startswith("home:") for r in rows)
 
 
 @pytest.mark.parametrize("domains", [None, [], ["nowhere"]])
 def test_filter_is_cleared(spark, model, domains):
-    assert classify.predict(model, ask(spark, Z), domains=domains).first()["label"] == "domain_b:intent_z"
+    assert classify.predict(model, ask(spark, Z), domains=domains).first()["label"] == "music:song"
 
 
 def test_more_classes_wanted_than_there_are(spark, corpus):
@@ -78,8 +78,8 @@ def test_blocks_of_queries_change_nothing(spark, corpus):
 
 def test_index_round_trip(spark, corpus, tmp_path):
     index = index_store.build(corpus, str(tmp_path / "i"), index_store.Spec(k=3, n=2))
-    assert index.centroids is None and index.meta["rows"] == 20 and index.meta["levels"] == 2 and index.meta["min_domain_rows"] == 10
-    assert classify.predict(index.model(), ask(spark, X)).first()["label"] == "domain_a:intent_x"
+    assert index.centroids is None and index.meta["rows"] == 24 and index.meta["levels"] == 2 and index.meta["min_domain_rows"] == 12
+    assert classify.predict(index.model(), ask(spark, X)).first()["label"] == "home:lamp"
     assert index_store.sanity(index).first()["accuracy"] == 1.0
     assert index_store.load(spark, str(tmp_path / "i"), nprobe=3).spec.nprobe == 3
 
@@ -207,11 +207,11 @@ def test_leaving_out_what_has_no_weight_changes_nothing(spark, cells, kernel, gl
 
 def test_an_index_from_settings_to_matches(spark, corpus, tmp_path):
     index_store.build(corpus, str(tmp_path / "i"), index_store.Spec(k=3, n=2))
-    engine = Engine(spark, {"index": str(tmp_path / "i"), "tiers": {"high": 0.6}, "ignore": ["domain_b:intent_w"]})
+    engine = Engine(spark, {"index": str(tmp_path / "i"), "tiers": {"high": 0.6}, "ignore": ["music:radio"]})
     assert engine.candidates(ask(spark, X)).count() == 0 and not engine.sync(spark.createDataFrame([], "intent string"))
     known = spark.createDataFrame([(x,) for x in LABELS], "intent string")
-    assert engine.sync(known) and {r[0] for r in engine.domains().collect()} >= {"domain_a", "domain_b"}
-    assert [r["match_type"] for r in engine.match(ask(spark, X), "high").collect()] == ["domain_a:intent_x"]
+    assert engine.sync(known) and {r[0] for r in engine.domains().collect()} >= {"home", "music"}
+    assert [r["match_type"] for r in engine.match(ask(spark, X), "high").collect()] == ["home:lamp"]
     assert not engine.sync() and engine.intents.count() == 3
     said = spark.createDataFrame([(7, "hello there")], "qid long, utterance string")
     assert len(engine.embedded(said).first()["embedding"]) == 64
@@ -222,3 +222,17 @@ def test_an_index_from_settings_to_matches(spark, corpus, tmp_path):
 def test_special_labels_may_have_the_suffix(spark):
     rows, _ = gated(spark, [("ocp:play.intent", 0.9), ("stop:stop.intent.intent", 0.5)], [])
     assert [r["match_type"] for r in rows] == ["common_play.play_search", "stop"]
+
+
+def test_codes(spark, cells, tmp_path):
+    df, _ = cells
+    q = df.where("vec_id % 12 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    index = index_store.build(df, str(tmp_path / "i"), index_store.Spec(nlist=4, nprobe=4, pq_m=4), cells=True)
+    assert index.books.shape == (4, 256, 2) and all(len(r["code"]) == 4 for r in index.corpus.select("code").collect())
+    want = {(r["qid"], r["vec_id"]) for r in index.search(q, 10).collect()}
+    got = index.search(q, 10, coded=True).collect()
+    assert sum((r["qid"], r["vec_id"]) in want for r in got) >= 0.8 * len(want) == 0.8 * 500
+    with pytest.raises(ValueError):
+        index_store.build(df, str(tmp_path / "j"), index_store.Spec(pq_m=3))
+    with pytest.raises(ValueError):
+        cells[1].search(q, 3, coded=True)

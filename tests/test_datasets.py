@@ -206,3 +206,63 @@ def test_a_hot_label_is_capped_in_parts(spark):
     order = df.where("label = 'hot'").orderBy(F.md5(F.concat(F.lit("42"), F.col("vec_id").cast("string"))), "vec_id").limit(300)
     assert got == {"hot": 300, None: 100}
     assert {r[0] for r in analysis._capped(df, "label", "vec_id", 300).where("label = 'hot'").select("vec_id").collect()} == {r["vec_id"] for r in order.collect()}
+
+
+def proto(*fields):
+    """Bytes of a protocol buffer's fields (number, value)."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.fixture
+def onnx_folder(tmp_path):
+    """A model that looks its tokens' vectors up, and a tokenizer of four words."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    table = np.array([[0, 0, 1], [3, 4, 0], [0, 1, 0], [1, 1, 1]], np.float32)
+    tensor = lambda name, kind, *dims: proto((1, name), (2, proto((1, proto((1, kind), (2, b"".join(proto((1, proto((2, d) if isinstance(d, str) else (1, d)))) for d in dims)))))))
+    graph = proto(
+        (1, proto((1, "table"), (1, "input_ids"), (2, "hidden"), (4, "Gather"))), (2, "g"),
+        (5, proto((1, 4), (1, 3), (2, 1), (8, "table"), (9, table.tobytes()))), (11, tensor("input_ids", 7, "b", "s")), (12, tensor("hidden", 1, "b", "s", 3)),
+    )
+    (tmp_path / "model.onnx").write_bytes(proto((1, 8), (7, graph), (8, proto((1, ""), (2, 13)))))
+    words = Tokenizer(models.WordLevel({"[UNK]": 0, "hello": 1, "other": 2, "[PAD]": 3}, unk_token="[UNK]"))
+    words.pre_tokenizer = pre_tokenizers.Whitespace()
+    words.save(str(tmp_path / "tokenizer.json"))
+    return str(tmp_path)
+
+
+def test_onnx_encoder(spark, onnx_folder):
+    spec = encoders.EncoderSpec.resolve(onnx_folder, "model.onnx")
+    assert spec.kind == "onnx" and encoders.dimension(spec) == 3 and encoders.dimension(encoders.EncoderSpec(dim=17)) == 17
+    df = spark.createDataFrame([("hello other",), ("other",), ("unknown words here",)], "sentence string")
+    got = [r[0] for r in df.select(encoders.encode(F.col("sentence"), spec)).collect()]
+    assert got == [[pytest.approx(0.6), pytest.approx(0.8), 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+
+
+def test_static_encoder(monkeypatch):
+    import sys
+    import types
+
+    class StaticModel:
+        @staticmethod
+        def from_pretrained(path):
+            return types.SimpleNamespace(encode=lambda texts: [[3.0, 4.0] if path in t else [0.0, 2.0] for t in texts])
+
+    monkeypatch.setitem(sys.modules, "model2vec", types.SimpleNamespace(StaticModel=StaticModel))
+    spec = encoders.EncoderSpec.resolve("hello")
+    assert spec.kind == "static" and encoders.dimension(spec) == 2
+    assert np.allclose(encoders.encoder(spec)(["hello", "x"]), [[0.6, 0.8], [0.0, 1.0]])

@@ -105,13 +105,23 @@ def _static(spec: EncoderSpec) -> Callable[[list[str]], np.ndarray]:
     return lambda texts: _unit(np.asarray(model.encode(texts)))
 
 
+def encoder(spec: EncoderSpec) -> Callable[[list[str]], np.ndarray]:
+    """Texts to unit vectors; loads what the spec names."""
+    return {"hashing": lambda: hashing(spec.dim), "onnx": lambda: _onnx(spec), "static": lambda: _static(spec)}[spec.kind]()
+
+
+def dimension(spec: EncoderSpec) -> int:
+    """The length of the spec's vectors; of a model, as it encodes a word."""
+    return spec.dim if spec.kind == "hashing" else len(encoder(spec)(["hello"])[0])
+
+
 def encode(text: Column, spec: EncoderSpec = EncoderSpec(), query: bool = False, batch: int = 512) -> Column:
     """array<float> of unit length for each text; a null text is empty."""
     prefix = spec.query_prefix if query else spec.document_prefix
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = {"hashing": lambda: hashing(spec.dim), "onnx": lambda: _onnx(spec), "static": lambda: _static(spec)}[spec.kind]()
+        model = encoder(spec)
         for part in parts:
             rows: list = []
             for at in range(0, len(part), batch):

@@ -9,6 +9,9 @@ cells are looked at: partitions of the corpus that no query probes are not read,
 A task emits its own nearest ``k`` of each query and group, merged over its batches; of these,
 ``margin`` leaves only what is as near to the nearest. Ties in distance go to the lower id.
 
+With code books the vectors are read back from product-quantised codes, a byte a sub-space, and only
+the codes are read; distances are those of what the codes stand for.
+
 Defined results: an empty corpus or no queries give no rows; vectors of different lengths are an
 error; repeated rows each count; a null vector has no neighbours and is none.
 """
@@ -52,6 +55,7 @@ class _Plan:
     margin: float | None
     whole: bool  # the margin counts from the nearest of all groups
     inside: str | None  # rows where this is false give only their nearest
+    books: np.ndarray | None = None  # (sub-spaces, codes, length): vectors are given as codes
 
     def most(self, inside: np.ndarray) -> np.ndarray:
         return np.where(inside, self.k, 1)
@@ -139,7 +143,7 @@ class _Search:
         batch = batch.filter(batch.column(self.embedding).is_valid())
         if not len(batch) or not len(self.q):
             return
-        v = _matrix(batch.column(self.embedding))
+        v = self.vectors(batch.column(self.embedding))
         kept = batch.select([*self.plan.kept])
         if self.probes is None:
             parts = [(np.arange(len(v)), np.arange(len(self.q)))]
@@ -155,6 +159,13 @@ class _Search:
             self.size = len(self.found[0])
             self.least = 2 * self.size + 200_000
 
+    def vectors(self, column: pa.ChunkedArray) -> np.ndarray:
+        books = self.plan.books
+        if books is None:
+            return _matrix(column)
+        codes = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), len(books))
+        return unit_rows(np.concatenate([book[codes[:, j]] for j, book in enumerate(books)], axis=1))
+
     def result(self) -> pa.Table | None:
         if not self.found:
             return None
@@ -165,6 +176,10 @@ class _Search:
         return own
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def _few(queries: DataFrame, qid: str, embedding: str, block: int) -> tuple[pa.Array, np.ndarray] | None:
     """Ids and vectors of at most ``block`` queries, else None."""
     rows = queries.select(qid, embedding).where(F.col(embedding).isNotNull()).limit(block + 1).collect()
@@ -188,14 +203,16 @@ def _cells(centroids: DataFrame, q: np.ndarray, nprobe: int, embedding: str) ->
 def nearest(
     corpus: DataFrame, queries: DataFrame, k: int, *, id: str = "vec_id", qid: str = "qid", embedding: str = "embedding",
     within: Sequence[str] = (), carry: Sequence[str] = (), inside: str | None = None, margin: float | None = None, whole: bool = False,
-    centroids: DataFrame | None = None, nprobe: int = 32, block: int = 20_000,
+    centroids: DataFrame | None = None, nprobe: int = 32, books: np.ndarray | None = None, code: str = "code", block: int = 20_000,
 ) -> DataFrame:
     """(qid, id, within and carry columns, dist), with the nearest ``k`` rows of each query and
     value of ``within`` among others: what ``distances`` ranks."""
     kept = tuple(dict.fromkeys([id, *within, *carry, *([inside] if inside else [])]))
-    plan = _Plan(id, tuple(within), kept, k, margin, whole, inside)
+    plan = _Plan(id, tuple(within), kept, k, margin, whole, inside, books)
     kinds = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
     schema = ", ".join([f"`{qid}` {queries.schema[qid].dataType.simpleString()}", *(f"`{c}` {kinds[c]}" for c in kept), "dist double"])
+    if books is not None:
+        corpus = corpus.drop(embedding).withColumnRenamed(code, embedding)
     columns = [*kept, embedding, *(["cell"] if centroids is not None and "cell" not in kept else [])]
     rows = corpus.select(*columns)
     few = _few(queries, qid, embedding, block)

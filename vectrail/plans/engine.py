@@ -51,8 +51,7 @@ class Engine:
 
     def embedded(self, utterances: DataFrame, qid: str = "qid") -> DataFrame:
         """(qid, embedding) of (qid, utterance)."""
-        said = F.concat(F.lit(self.encoder.query_prefix), F.col("utterance"))
-        return utterances.select(qid, encode(said, self.encoder).alias("embedding"))
+        return utterances.select(qid, encode(F.col("utterance"), self.encoder, query=True).alias("embedding"))
 
     def predict(self, queries: DataFrame, qid: str = "qid", **options) -> DataFrame:
         queries = queries if "embedding" in queries.columns else self.embedded(queries, qid)

@@ -6,6 +6,8 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,7 @@ class Spec:
     train_rows_per_cell: int = 40
     rows_per_cell: int = 256
     rows_per_file: int = 1_000_000
+    pq_m: int | None = None  # sub-spaces of product-quantised codes; None: no codes
     encoder_path: str | None = None
     encoder_file: str | None = None
 
@@ -51,6 +54,7 @@ class Index:
     classes: DataFrame
     centroids: DataFrame | None
     meta: dict
+    books: np.ndarray | None = None
 
     def model(self) -> classify.Model:
         s = self.spec
@@ -59,12 +63,16 @@ class Index:
             self.corpus, s.id, s.label, s.embedding, s.sep, s.n, kernel, s.anchor_to_global, s.renormalize, centroids=self.centroids, nprobe=s.nprobe
         )
 
-    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, qid: str = "qid") -> DataFrame:
-        """The nearest rows: in the probed cells if the index has cells, else exact."""
+    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, qid: str = "qid", coded: bool = False) -> DataFrame:
+        """The nearest rows: in the probed cells if the index has cells, else exact. ``coded`` reads
+        the codes instead of the vectors, a byte for each sub-space, with distances of that precision."""
         s = self.spec
+        if coded and self.books is None:
+            raise ValueError("the index has no codes: build it with pq_m")
+        options = dict(id=s.id, qid=qid, embedding=s.embedding, books=self.books if coded else None)
         if self.centroids is None:
-            return knn.distances(self.corpus, queries, k, id=s.id, qid=qid, embedding=s.embedding)
-        return knn.probe(self.corpus, self.centroids, queries, k, nprobe or s.nprobe, id=s.id, qid=qid, embedding=s.embedding)
+            return knn.distances(self.corpus, queries, k, **options)
+        return knn.probe(self.corpus, self.centroids, queries, k, nprobe or s.nprobe, **options)
 
 
 def prepared(df: DataFrame, *, languages: Sequence[str] | None = None, min_count: int = 10, label: str = "label", sentence: str = "sentence") -> DataFrame:
@@ -84,6 +92,32 @@ def prepared(df: DataFrame, *, languages: Sequence[str] | None = None, min_count
     return at_least(df, label, min_count)
 
 
+def _books(sample: DataFrame, spec: Spec, dims: int) -> np.ndarray:
+    """(sub-spaces, codes, length): k-means centres of each slice of the sample's vectors."""
+    if dims % spec.pq_m:
+        raise ValueError(f"{dims} dimensions can't be cut in {spec.pq_m} sub-spaces")
+    size, found = dims // spec.pq_m, []
+    for j in range(spec.pq_m):
+        own = sample.select(array_to_vector(F.slice(spec.embedding, j * size + 1, size)).alias("_f"))
+        centres = np.array(KMeans(k=256, seed=42 + j, featuresCol="_f", maxIter=10).fit(own).clusterCenters())
+        found.append(np.concatenate([centres, np.repeat(centres[:1], 256 - len(centres), axis=0)]))
+    return np.array(found)
+
+
+def _coded(rows: DataFrame, books: np.ndarray, embedding: str) -> DataFrame:
+    """With ``code``: the nearest centre of each slice, a byte each."""
+    shared = rows.sparkSession.sparkContext.broadcast(books)
+
+    @F.pandas_udf("binary")
+    def code(vectors: pd.Series) -> pd.Series:
+        books = shared.value
+        x = np.stack([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), len(books), -1)
+        near = [((b**2).sum(1) - 2 * x[:, j] @ b.T).argmin(1) for j, b in enumerate(books)]
+        return pd.Series([bytes(r) for r in np.stack(near, axis=1).astype(np.uint8)])
+
+    return rows.withColumn("code", code(F.col(embedding)))
+
+
 def build(df: DataFrame, path: str, spec: Spec = Spec(), cells: bool | None = None) -> Index:
     """Writes an index of (id, label, embedding). The quantiser is trained on a bounded sample by
     md5 order; assignment is one pass and one write partitioned by cell."""
@@ -92,6 +126,11 @@ def build(df: DataFrame, path: str, spec: Spec = Spec(), cells: bool | None = No
     n = rows.count()
     levels = depth(rows, spec.label, spec.sep)
     cells = spec.pruned(n) if cells is None else cells
+    if spec.pq_m and n:
+        sample = fixed_sample(rows, spec.id, min(n, 256 * spec.train_rows_per_cell))
+        books = _books(sample, spec, len(rows.first()[spec.embedding]))
+        spark.createDataFrame([(j, b.tolist()) for j, b in enumerate(books)], "part int, book array<array<double>>").write.mode("overwrite").parquet(f"{path}/books")
+        rows = _coded(rows, books, spec.embedding)
     class_dim(rows, spec.label, levels, spec.sep).write.mode("overwrite").parquet(f"{path}/classes")
     sizes = rows.groupBy(level_class(F.col(spec.label), 1, spec.sep).alias("d")).count().agg(F.min("count")).first()
     if cells:
@@ -109,7 +148,7 @@ def build(df: DataFrame, path: str, spec: Spec = Spec(), cells: bool | None = No
         placed.repartition("cell", "_file").drop("_file").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/corpus")
     else:
         rows.write.mode("overwrite").parquet(f"{path}/corpus")
-    meta = {"spec": asdict(spec), "rows": n, "levels": levels, "cells": cells, "min_domain_rows": sizes[0] if sizes else None}
+    meta = {"spec": asdict(spec), "rows": n, "levels": levels, "cells": cells, "codes": bool(spec.pq_m and n), "min_domain_rows": sizes[0] if sizes else None}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return load(spark, path)
 
@@ -120,7 +159,10 @@ def load(spark: SparkSession, path: str, **changes) -> Index:
     known = {k: v for k, v in meta["spec"].items() if k in Spec.__dataclass_fields__}
     spec = Spec(**(known | changes))
     centroids = spark.read.parquet(f"{path}/centroids") if meta["cells"] else None
-    return Index(spec, spark.read.parquet(f"{path}/corpus"), spark.read.parquet(f"{path}/classes"), centroids, meta)
+    books = None
+    if meta.get("codes"):
+        books = np.array([r["book"] for r in spark.read.parquet(f"{path}/books").orderBy("part").collect()])
+    return Index(spec, spark.read.parquet(f"{path}/corpus"), spark.read.parquet(f"{path}/classes"), centroids, meta, books)
 
 
 def sanity(index: Index, n: int = 5) -> DataFrame:
