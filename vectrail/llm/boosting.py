@@ -36,6 +36,10 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 50, depth: int = 5, rate:
     n, m = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
     binned = [np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]
+    # Features of two values need no histogram: one product adds up all of them.
+    two = [j for j in range(m) if len(edges[j]) == 1]
+    more = [j for j in range(m) if len(edges[j]) > 1]
+    low = np.stack([binned[j] == 0 for j in two], axis=1).astype(float) if two else np.empty((n, 0))
     mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     base = float(np.log(mean / (1 - mean)))
     z = np.full(n, base)
@@ -48,21 +52,27 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 50, depth: int = 5, rate:
         for level in range(depth):
             width, first = 1 << level, (1 << level) - 1
             node = (at - first) * bins
-            best = np.full(width, 1e-6)
-            for j in range(m):
-                if not len(edges[j]):
-                    continue
+            ga, ha = (np.bincount(at - first, w, width)[:, None] for w in (g, h))
+            gains = np.full((m, width), -np.inf)
+            cuts = np.zeros((m, width), np.int64)
+
+            def gain(gs: np.ndarray, hs: np.ndarray) -> np.ndarray:
+                return gs**2 / (hs + ridge) + (ga - gs) ** 2 / (ha - hs + ridge) - ga**2 / (ha + ridge)  # noqa: B023
+
+            if two:
+                own = np.zeros((2, width, n))
+                own[0, at - first, np.arange(n)], own[1, at - first, np.arange(n)] = g, h
+                gains[two] = gain(own[0] @ low, own[1] @ low).T
+            for j in more:
                 key = node + binned[j]
-                gs = np.bincount(key, g, width * bins).reshape(width, bins).cumsum(1)
-                hs = np.bincount(key, h, width * bins).reshape(width, bins).cumsum(1)
-                ga, ha = gs[:, -1:], hs[:, -1:]
-                gain = gs**2 / (hs + ridge) + (ga - gs) ** 2 / (ha - hs + ridge) - ga**2 / (ha + ridge)
-                gain = gain[:, : len(edges[j])]
-                k = gain.argmax(1)
-                top = gain[np.arange(width), k]
-                for w in np.flatnonzero(top > best):
-                    best[w] = top[w]
-                    out.feature[t, first + w], out.cut[t, first + w] = j, edges[j][k[w]]
+                gs, hs = (np.bincount(key, w, width * bins).reshape(width, bins).cumsum(1)[:, : len(edges[j])] for w in (g, h))
+                found = gain(gs, hs)
+                cuts[j] = found.argmax(1)
+                gains[j] = found[np.arange(width), cuts[j]]
+            best = gains.round(9).argmax(0)
+            for w in np.flatnonzero(gains[best, np.arange(width)] > 1e-6):
+                j = best[w]
+                out.feature[t, first + w], out.cut[t, first + w] = j, edges[j][cuts[j, w]]
             at = 2 * at + 1 + (x[np.arange(n), out.feature[t, at]] > out.cut[t, at])
         leaf = at - inner
         gs, hs = np.bincount(leaf, g, leaves), np.bincount(leaf, h, leaves)
