@@ -71,7 +71,7 @@ def test_token_counts_equal_a_library():
     library = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
     r = random.Random(4)
     words = ["".join(r.choice("abcdeinorstuéß!") for _ in range(r.randint(1, 18))) for _ in range(1500)] + ["日本", "🙂🙂x", "a" * 200]
-    for trie in (token_counts.Trie(token_counts.Pieces(pieces)), token_counts.Trie(token_counts.Pieces(pieces), max_nodes=50, deep=7)):
+    for trie in (token_counts.Trie(token_counts.Pieces(pieces)), token_counts.Trie(token_counts.Pieces(pieces), most=50, deep=7)):
         assert [trie[w.encode()] for w in words] == [len(library.encode(token_counts.MARK + w, add_special_tokens=False).ids) for w in words]
 
 
@@ -91,13 +91,19 @@ def test_tokens_equal_brute_force_segmentation():
         assert trie[word.encode()] == best("▁" + word)
 
 
-def test_a_word_of_any_length_keeps_few_nodes():
+def test_counts_of_blocks_are_those_of_words():
     pieces = token_counts.Pieces(token_counts.zipf_pieces(queries.PIECES))
-    trie, whole = token_counts.Trie(pieces, max_nodes=1000), token_counts.Trie(pieces, deep=1 << 30)
-    word = b"thereisnospaceinthistext0123" * 700
-    assert trie[word] == whole[word] and len(trie.best) <= 66 and len(whole.best) > 19_000
-    for k in range(3000):
-        assert trie[b"%d" % k] > 0 and len(trie.best) <= 1066
+    whole, windowed = token_counts.Trie(pieces, deep=1 << 30), token_counts.Trie(pieces, most=20)
+    r = random.Random(3)
+    words = [("".join(r.choice("abcdeinorstuéß日🙂") for _ in range(r.randint(1, 90)))).encode() for _ in range(400)] + [b"thereisnospaceinthistext0123" * 300]
+    texts = [b" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(60)] + [words[-1], b"", b" \t\x0b"]
+    for at in range(0, len(texts), 9):
+        some = texts[at : at + 9]
+        n, tokens = windowed.counts(some)
+        assert n == [len(t.split()) for t in some] and tokens == [sum(whole[w] for w in t.split()) for t in some]
+        assert len(windowed) <= 20 + 9 * 30
+    none = token_counts.Trie(token_counts.Pieces({}))
+    assert none["é".encode()] == len("▁é".encode())
 
 
 def test_query_op2_sums_words(spark, small):
@@ -105,7 +111,7 @@ def test_query_op2_sums_words(spark, small):
     trie = token_counts.Trie(token_counts.Pieces(token_counts.zipf_pieces(queries.PIECES)))
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
         words = r["text"].encode().split()
-        assert (rows[r["doc_id"]]["n_words"], rows[r["doc_id"]]["n_tokens"]) == (len(words), sum(trie[w] for w in words))
+        assert (rows[r["doc_id"]]["n_words"], rows[r["doc_id"]]["n_tokens"]) == (len(words), trie.counts([r["text"].encode()])[1][0])
 
 
 def test_sketches_never_miss(spark):

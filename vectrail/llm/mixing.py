@@ -145,12 +145,12 @@ def _scored(docs: DataFrame, labels: DataFrame, keep: bool, own: Tables, *, doc:
             texts = W.texts_of(batch.column("_text"))
             p = model.posteriors(texts)
             p = np.stack([np.zeros(len(p)) if j is None else p[:, j] for j in chosen], axis=1)
-            tokens = trie.tokens(texts) if trie is not None else [len(x.split()) for x in texts]
+            tokens = trie.counts(texts)[1] if trie is not None else [len(x.split()) for x in texts]
             names = [n for n in batch.schema.names if n != "_text"]
             arrays = [*(batch.column(n) for n in names), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))]
             return pa.RecordBatch.from_arrays(arrays, [*names, "n_tokens", "posteriors"])
 
-        yield from W.mapped(work, "_text")(batches)
+        yield from W.mapped(work, "_text", token_counts.BLOCK)(batches)
 
     return own.written(rows.mapInArrow(run, ", ".join([*fields, "n_tokens long", "posteriors array<double>"])), "posteriors")
 

@@ -168,14 +168,14 @@ def release() -> None:
         trim(0)
 
 
-def mapped(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: ``work`` over slices of each batch."""
+def mapped(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str, limit: int = 4 * BLOCK) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: ``work`` over slices of each batch, of at most ``limit`` bytes of text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out
