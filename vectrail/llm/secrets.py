@@ -92,26 +92,22 @@ def _two_sided(z: Column) -> Column:
     return 2 * _upper_tail(F.abs(z))
 
 
-def _chi2(run: Column, n: Column, alphabet: str) -> Column:
-    squares = F.aggregate(
-        F.array(*[F.lit(c) for c in alphabet]),
-        F.lit(0.0),
-        lambda acc, c: acc + F.pow(n - F.length(F.replace(run, c, F.lit(""))), F.lit(2.0)),
-    )
-    return F.greatest(squares * len(alphabet) / n - n, F.lit(0.0))
+def _chi2(run: Column, n: Column, alphabet: Column) -> Column:
+    squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(run, c, F.lit(""))), F.lit(2.0)))
+    return F.greatest(squares * F.length(alphabet) / n - n, F.lit(0.0))
 
 
-def _uniform(x: Column, k: int) -> Column:
+def _uniform(x: Column, k: Column) -> Column:
     """P(chi-squared > x) under uniformity, by Wilson and Hilferty."""
-    df = k - 1
-    return _upper_tail((F.pow(x / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    spread = 2 / (9 * (k - 1))
+    return _upper_tail((F.pow(x / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
 
 
 def _total(xs: Column, f: Callable[[Column], Column]) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
 
 
-def _runs(places: Column, n: Column, k: int) -> Column:
+def _runs(places: Column, n: Column, k: Column) -> Column:
     """Runs above and below the middle of the alphabet."""
 
     def test(s: Column) -> Column:
@@ -146,44 +142,46 @@ def _serial(places: Column, n: Column) -> Column:
     return let(_total(places, lambda x: x) / n, test)
 
 
-def _ordinary(x: Column, places: Column, n: Column, e: Encoding) -> Column:
+def _ordinary(x: Column, places: Column, n: Column, k: Column, e: Column) -> Column:
     """How likely ordinary text is as uniform, and changes class as often."""
-    df = len(e.alphabet) - 1
-    more = n * (len(e.alphabet) * e.coincidence - 1)
-    score = (df + more - x) / F.sqrt(2 * (df + 2 * more))
-    if not e.cuts:
-        return _upper_tail(score)
-
-    def kind(place: Column) -> Column:
-        return sum((F.when(place >= c, 1).otherwise(0) for c in e.cuts), F.lit(0))
+    more = n * (k * e["coincidence"] - 1)
+    score = (k - 1 + more - x) / F.sqrt(2 * (k - 1 + 2 * more))
 
     def changed(kinds: Column) -> Column:
         near = F.zip_with(F.slice(kinds, 1, (n - 1).cast("int")), F.slice(kinds, 2, (n - 1).cast("int")), lambda a, b: F.when(a != b, 1.0).otherwise(0.0))
-        return (_total(near, lambda c: c) - (n - 1) * e.changes) / F.sqrt((n - 1) * (e.changes * (1 - e.changes)))
+        return (_total(near, lambda c: c) - (n - 1) * e["changes"]) / F.sqrt((n - 1) * e["changes"] * (1 - e["changes"]))
+
+    kinds = F.transform(places, lambda p: F.size(F.filter(e["cuts"], lambda c: c <= p)))
+    return _upper_tail(F.when(F.size(e["cuts"]) == 0, score).otherwise((score + let(kinds, changed)) / math.sqrt(2)))
+
 
-    return _upper_tail((score + let(F.transform(places, kind), changed)) / math.sqrt(2))
+def _encoding(run: Column) -> Column:
+    """The first encoding that fits, as a struct, or null."""
+    found = F.lit(None)
+    for e in reversed(ENCODINGS):
+        cuts = F.array(*[F.lit(float(c)) for c in e.cuts]).cast("array<double>")
+        own = F.struct(F.lit(e.alphabet).alias("alphabet"), cuts.alias("cuts"), F.lit(e.coincidence).alias("coincidence"), F.lit(e.changes).alias("changes"))
+        found = F.when(run.rlike(e.pattern), own).otherwise(found)
+    return found
 
 
 def battery(run: Column) -> Column:
     """struct<ordinary, random>: the p-values of the two questions. A run that is a hex or access
     span, or in no one encoding, is ordinary."""
     n = F.length(run).cast("double")
-    none = F.struct(F.lit(1.0).alias("ordinary"), F.lit(0.0).alias("random"))
 
-    def tested(e: Encoding) -> Column:
-        k = len(e.alphabet)
-        places = F.transform(F.split(run, ""), lambda c: (F.instr(F.lit(e.alphabet), c) - 1).cast("double"))
+    def tested(e: Column) -> Column:
+        k = F.length(e["alphabet"]).cast("double")
+        places = F.transform(F.split(run, ""), lambda c: (F.instr(e["alphabet"], c) - 1).cast("double"))
 
-        def both(xs: Column, x: Column) -> Column:
-            random = F.least(_uniform(x, k), _runs(xs, n, k), _serial(xs, n)) * 3
-            return F.struct(_ordinary(x, xs, n, e).alias("ordinary"), random.alias("random"))
+        def both(s: Column) -> Column:
+            random = F.least(_uniform(s["x"], k), _runs(s["places"], n, k), _serial(s["places"], n)) * 3
+            return F.struct(_ordinary(s["x"], s["places"], n, k, e).alias("ordinary"), random.alias("random"))
 
-        own = F.struct(places.alias("places"), _chi2(run, n, e.alphabet).alias("x"))
-        return let(own, lambda s: both(s["places"], s["x"]))
+        return let(F.struct(places.alias("places"), _chi2(run, n, e["alphabet"]).alias("x")), both)
 
-    found = none
-    for e in reversed(ENCODINGS):
-        found = F.when(run.rlike(e.pattern), tested(e)).otherwise(found)
+    none = F.struct(F.lit(1.0).alias("ordinary"), F.lit(0.0).alias("random"))
+    found = let(_encoding(run), lambda e: F.when(e.isNull(), none).otherwise(tested(e)))
     return F.when(run.rlike(rf"^({HEX}|{ACCESS})$"), none).otherwise(found)
 
 
