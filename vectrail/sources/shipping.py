@@ -1,4 +1,5 @@
-"""Sends this package to the executors, so that none of them needs it installed."""
+"""Sends this package to the executors, so that none of them needs it installed, and keeps the batches
+that go to Python small: texts are long, and a batch is held by the JVM and by Python."""
 
 from __future__ import annotations
 
@@ -11,9 +12,15 @@ from pyspark.sql import SparkSession
 import vectrail
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package as a Python file of the session's context, once."""
+    """Adds the package as a Python file of the session's context, once. Batches have 2,000 rows
+    unless the session was given a number of its own."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == "10000" and not context.getConf().contains(BATCH):
+        spark.conf.set(BATCH, "2000")
     root = Path(vectrail.__file__).parent
     if getattr(context, "_vectrail_shipped", False) or not root.is_dir():
         return
