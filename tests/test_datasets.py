@@ -266,3 +266,19 @@ def test_static_encoder(monkeypatch):
     spec = encoders.EncoderSpec.resolve("hello")
     assert spec.kind == "static" and encoders.dimension(spec) == 2
     assert np.allclose(encoders.encoder(spec)(["hello", "x"]), [[0.6, 0.8], [0.0, 1.0]])
+
+
+def test_medoids_of_many_centres(spark):
+    """As many centres as asked for, with copies and null vectors among the rows."""
+    x = np.random.default_rng(5).normal(size=(400, 8)).astype(np.float32)
+    rows = [(k, [float(v) for v in x[k % 400]]) for k in range(800)] + [(800, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = analysis.medoids(df, 60).collect()
+    centres = np.array([r["centre"] for r in sorted(got, key=lambda r: r["cluster"])])
+    gap = ((x[:, None].astype(float) - centres[None]) ** 2).sum(-1)
+    near = gap.argmin(1)
+    want = {c: min(np.flatnonzero(near == c), key=lambda k: (gap[k, c], k)) for c in range(60)}
+    assert len(got) == 60 and {r["cluster"]: r["vec_id"] for r in got} == want
+    assert gap.min(1).sum() < 0.8 * min(((x[:, None] - x[None, at : at + 60]) ** 2).sum(-1).min(1).sum() for at in range(0, 340, 60))
+    assert analysis.medoids(df, 1000).count() == 400
+    assert analysis.medoids(df.limit(0), 3).count() == 0

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions.vectors import unit
+from vectrail.operators.knn import _matrix
 from vectrail.operators.relational import md5_order, word_bag_distinct
+from vectrail.sources.scratch import tables
 
 
 def _capped(df: DataFrame, label: str, id: str, most: int | None, parts: int = 64) -> DataFrame:
@@ -210,12 +211,75 @@ def topology(df: DataFrame, *, label: str = "label", id: str = "vec_id", embeddi
     return _capped(own, "Intent", id, most).groupBy("Intent").applyInPandas(work, schema)
 
 
-def medoids(df: DataFrame, k: int, *, id: str = "vec_id", embedding: str = "embedding", seed: int = 42) -> DataFrame:
-    """(cluster, id, centre): the row nearest each k-means centre, and the centre."""
-    own = df.select(id, array_to_vector(embedding).alias("features"), F.col(embedding).alias("_v"))
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(own)
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    table = F.broadcast(df.sparkSession.createDataFrame(centres, "cluster int, centre array<double>"))
-    placed = model.transform(own).withColumnRenamed("prediction", "cluster").join(table, "cluster")
-    gap = F.aggregate(F.zip_with("_v", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return placed.groupBy("cluster").agg(F.min(F.struct(gap.alias("gap"), F.col(id))).alias("x"), F.first("centre").alias("centre")).select("cluster", f"x.{id}", "centre")
+def _nearest_centres(x: np.ndarray, centres: np.ndarray, strip: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the first on ties, and the squared distance to it. Products of
+    single precision choose; the distance is of double precision."""
+    c = centres.astype(np.float32)
+    half = (c * c).sum(1) / 2
+    near = np.concatenate([(half - x[at : at + strip].astype(np.float32) @ c.T).argmin(1) for at in range(0, len(x), strip)])
+    return near, np.concatenate([((x[at : at + strip] - centres[near[at : at + strip]]) ** 2).sum(1) for at in range(0, len(x), strip)])
+
+
+def _added(codes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct codes, and the sums of each value by code."""
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    return codes[order[first]], *(np.add.reduceat(v[order], first, axis=0) for v in values)
+
+
+def medoids(df: DataFrame, k: int, *, id: str = "vec_id", embedding: str = "embedding", seed: int = 42, rounds: int = 20, tol: float = 1e-4) -> DataFrame:
+    """(cluster, id, centre): the row nearest each k-means centre, and the centre. The first centres are
+    ``k`` different vectors by md5 order; each round is one pass over all rows, whose tasks hold the
+    centres and send on sums by centre. Centres reach the driver, rows don't. A centre that lost its rows
+    moves to the row farthest from its own; a null vector is in no cluster, and of no rows there are no centres."""
+    spark, kind = df.sparkSession, df.schema[id].dataType.simpleString()
+    with tables() as own:
+        rows = own.written(df.select(F.col(id).alias("_id"), F.col(embedding).alias("_v")).where("_v is not null"), "vectors")
+        first = rows.groupBy("_v").agg(F.min(F.struct(md5_order(F.col("_id"), str(seed)).alias("order"), "_id")).alias("x"))
+        centres = _matrix(first.orderBy("x.order", "x._id").limit(k).select("_v").toArrow().column(0))
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: list[tuple] = []
+            for b in batches:
+                if len(b):
+                    x = _matrix(b.column("_v"))
+                    found.append(_added(_nearest_centres(x, shared.value)[0], np.ones(len(x), np.int64), x))
+            yield from _sums(found)
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _sums([(b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2))) for b in batches if len(b)])
+
+        def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    near, gap = _nearest_centres(_matrix(b.column("_v")), shared.value)
+                    yield pa.record_batch({"cluster": pa.array(near, pa.int32()), "gap": gap, "_id": b.column("_id"), "_v": b.column("_v")})
+
+        for _ in range(rounds if len(centres) else 0):
+            shared = spark.sparkContext.broadcast(centres)
+            part = rows.mapInArrow(sums, "cluster int, n long, s array<double>").repartition("cluster").mapInArrow(total, "cluster int, n long, s array<double>").toArrow()
+            shared.destroy()
+            at, old = part.column("cluster").to_numpy(), centres
+            centres = centres.copy()
+            centres[at] = _matrix(part.column("s")) / part.column("n").to_numpy()[:, None]
+            if ((centres - old) ** 2).sum(1).max() <= tol**2:
+                break
+        for _ in range(3):
+            shared = spark.sparkContext.broadcast(centres)
+            placed = rows.mapInArrow(closest, f"cluster int, gap double, _id {kind}, _v {df.schema[embedding].dataType.simpleString()}")
+            found = placed.groupBy("cluster").agg(F.min(F.struct("gap", "_id")).alias("x")).select("cluster", F.col("x._id").alias(id)).toArrow()
+            lost = np.setdiff1d(np.arange(len(centres)), found.column("cluster").to_numpy())
+            if not len(lost):
+                break
+            far = placed.where("gap > 0").orderBy(F.desc("gap"), "_id").limit(len(lost)).select("_v").toArrow()
+            if len(far):
+                centres[lost[: len(far)]] = _matrix(far.column(0))
+    found = found.append_column("centre", pa.array(list(centres[found.column("cluster").to_numpy()]), pa.list_(pa.float64())))
+    return spark.createDataFrame(found, f"cluster int, `{id}` {kind}, centre array<double>")
+
+
+def _sums(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """(cluster, n, s) of parts (cluster, n, s)."""
+    if found:
+        at, n, s = _added(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        yield pa.record_batch({"cluster": pa.array(at, pa.int32()), "n": n, "s": pa.array(list(s), pa.list_(pa.float64()))})
