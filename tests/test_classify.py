@@ -236,3 +236,18 @@ def test_codes(spark, cells, tmp_path):
         index_store.build(df, str(tmp_path / "j"), index_store.Spec(pq_m=3))
     with pytest.raises(ValueError):
         cells[1].search(q, 3, coded=True)
+
+
+def test_expressions_skip_nulls_and_find_all_behind_the_bound(spark):
+    """More rows than groups of the bound, copies among them, and vectors that are null."""
+    x = np.random.default_rng(3).normal(size=(150, 6))
+    x = np.concatenate([x, x]) / np.linalg.norm(np.concatenate([x, x]), axis=1, keepdims=True)
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)] + [(k, None) for k in (300, 301)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = ask(spark, *np.random.default_rng(4).normal(size=(5, 6)))
+    key = lambda df: sorted((r["qid"], r["rank"], r["vec_id"], round(r["dist"], 9)) for r in df.collect())
+    want = key(knn.distances(corpus, q, 4))
+    assert len(want) == 20 and all(key(knn.by_expressions(corpus, q, 4, **o)) == want for o in ({}, {"part": 1}, {"part": 2, "block": 2}))
+    with pytest.raises(ValueError, match="dimensions"):
+        knn.by_expressions(corpus, ask(spark, [0.0] * 16), 3)
+    assert knn.by_expressions(corpus.where("vec_id >= 300"), q, 3).count() == knn.by_expressions(corpus, q.limit(0), 3).count() == 0

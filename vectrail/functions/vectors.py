@@ -27,7 +27,11 @@ def unit(v: Column, least: float = 0.0) -> Column:
 
 def angular(a: Column, b: Column) -> Column:
     """arccos of the product over pi, in 0..1, of unit vectors."""
-    return F.acos(F.least(F.greatest(dot(a, b), F.lit(-1.0)), F.lit(1.0))) / F.lit(3.141592653589793)
+    return angle(dot(a, b))
+
+
+def angle(product: Column) -> Column:
+    return F.acos(F.least(F.greatest(product, F.lit(-1.0)), F.lit(1.0))) / F.lit(3.141592653589793)
 
 
 def dim_columns(df: DataFrame) -> list[str]:
