@@ -347,12 +347,12 @@ L1 = f"{PAIRS}, {POOL}, {WEIGHTED}, {shares('reach', 'dom', chr(39) + 'd0' + chr
 
 @query(f"with {L1} select qid, 'd0' as ci, 'd0' as cj, round(a, 6) as r from r1 union all select qid, 'd0', 'd1', round(b, 6) from r1 union all select qid, 'd1', 'd0', round(c, 6) from r1 union all select qid, 'd1', 'd1', round(d, 6) from r1")
 def pairwise_r(spark, sf):
-    return six(coupling.pairwise_rows(coupling.shell_weights(pool_of(spark, sf))), "r")
+    return six(coupling.pairwise_rows(coupling.shell_weights(pool_of(spark, sf)), classes=["d0", "d1"]), "r")
 
 
 @query(f"with {L1} select qid, round(p, 6) as p_first from p1")
 def l1_closed_form(spark, sf):
-    rows = coupling.pairwise_rows(coupling.shell_weights(pool_of(spark, sf)))
+    rows = coupling.pairwise_rows(coupling.shell_weights(pool_of(spark, sf)), classes=["d0", "d1"])
     return six(coupling.two_classes(rows, "d0", "d1"), "p_first")
 
 
