@@ -234,7 +234,8 @@ def medoids(df: DataFrame, k: int, *, id: str = "vec_id", embedding: str = "embe
     moves to the row farthest from its own; a null vector is in no cluster, and of no rows there are no centres."""
     spark, kind = df.sparkSession, df.schema[id].dataType.simpleString()
     with tables() as own:
-        rows = own.written(df.select(F.col(id).alias("_id"), F.col(embedding).alias("_v")).where("_v is not null"), "vectors")
+        given = df.select(F.col(id).alias("_id"), F.col(embedding).alias("_v")).where("_v is not null")
+        rows = own.written(given.repartition(spark.sparkContext.defaultParallelism, "_id"), "vectors")  # a small table is one task else
         first = rows.groupBy("_v").agg(F.min(F.struct(md5_order(F.col("_id"), str(seed)).alias("order"), "_id")).alias("x"))
         centres = _matrix(first.orderBy("x.order", "x._id").limit(k).select("_v").toArrow().column(0))
 
